@@ -14,6 +14,7 @@ A conversation is one output row by definition, so it is what one task must hold
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import common
 
-DEFAULT_VOCABULARY = os.environ.get("FOLIOSPARK_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+DEFAULT_VOCABULARY = os.environ.get("FOLIOSPARK_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Fixed value: how the vocabulary's byte-level BPE cuts texts before it merges bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _INSIDE = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.DOTALL)
-ENCODE_CHARS = 1 << 19  # characters encoded at once
 
 
 def escape(text: str) -> str:
@@ -70,14 +72,33 @@ def mask_tokens(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int
     return np.cumsum(steps[:-1]) > 0
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: bytes):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import AddedToken, Tokenizer
+class Encoder:
+    """Byte-level BPE with offsets in code points."""
+
+    def __init__(self, vocabulary: bytes):
+        import tiktoken
+
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, vocabulary.splitlines())}
+        control = {t: max(ranks.values()) + 1 + k for k, t in enumerate((START, SEP, END))}
+        self.bpe = tiktoken.Encoding("foliospark", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=control)
+        self.size = np.zeros(max(control.values()) + 1, np.int64)
+        for t, r in [*ranks.items(), *((t.encode(), r) for t, r in control.items())]:
+            self.size[r] = len(t)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, ends); a token with part of a character reaches over the whole of it."""
+        ids = np.array(self.bpe.encode(text, allowed_special="all"), np.int32)
+        lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+        before = np.concatenate([[0], np.cumsum(lead)])
+        ends = np.cumsum(self.size[ids])
+        starts = ends - self.size[ids]
+        whole = np.append(lead, True)
+        return ids, (before[starts] - ~whole[starts]).astype(np.int32), before[ends].astype(np.int32)
 
-    made = Tokenizer.from_str(vocabulary.decode())
-    made.add_special_tokens([AddedToken(t, normalized=False, special=True) for t in (START, SEP, END)])
-    return made
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: bytes) -> Encoder:
+    return Encoder(vocabulary)
 
 
 _TYPE = "struct<formatted:string,token_ids:array<int>,token_starts:array<int>,token_ends:array<int>,loss_mask:array<boolean>>"
@@ -100,23 +121,10 @@ def format_chats(
     def encode(chats: pa.Array) -> pa.Array:
         made = encoder(tokens)
         out: list[tuple] = []
-        waiting: list[tuple[str, list]] = []
-
-        def flush():
-            for (rendered, spans), e in zip(waiting, made.encode_batch([x for x, _ in waiting], add_special_tokens=False), strict=True):
-                offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
-                mask = mask_tokens(offsets[:, 0], offsets[:, 1], spans)
-                out.append((rendered, np.array(e.ids, np.int32), offsets[:, 0], offsets[:, 1], mask))
-            waiting.clear()
-
-        held = 0
         for chat in chats.to_pylist():
-            waiting.append(render([(t["role"], t["text"]) for t in chat], learned))
-            held += len(waiting[-1][0])
-            if held >= ENCODE_CHARS:
-                flush()
-                held = 0
-        flush()
+            rendered, spans = render([(t["role"], t["text"]) for t in chat], learned)
+            ids, starts, ends = made.encode(rendered)
+            out.append((rendered, ids, starts, ends, mask_tokens(starts, ends, spans)))
         cuts = pa.array(np.concatenate([[0], np.cumsum([len(x[1]) for x in out])]), pa.int32())
         lists = [
             pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0), kind))
