@@ -52,7 +52,7 @@ def shard_by_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", shard
     )
     placed = common.materialise(placed, "places")
     groups = placed.groupBy("h").agg(F.min("start").alias("group_start"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    groups = groups.filter((F.col("n") > 1) & (F.col("bytes") <= most)).select("h", "group_start")
+    groups = common.materialise(groups.filter((F.col("n") > 1) & (F.col("bytes") <= most)).select("h", "group_start"), "groups")
     # bytes * shards stays exact: decimals hold what a long may not
     cut = F.floor(F.coalesce("group_start", "start").cast("decimal(38,0)") * shards / F.lit(total).cast("decimal(38,0)"))
     dealt = placed.join(groups, "h", "left").select("id", "size", "crc", "place", F.least(cut.cast("int"), F.lit(shards - 1)).alias("shard"))
