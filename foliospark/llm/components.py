@@ -12,6 +12,11 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _lowest(links: DataFrame) -> DataFrame:
+    """(u, m): each node's least neighbour; written, so that its size is known and a hub's links can be split in the join."""
+    return common.materialise(links.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link to another; component is the smallest node reachable.
 
@@ -23,9 +28,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = _signature(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = _lowest(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.materialise(large, "edges")
+        lowest = _lowest(large)
         small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = common.materialise(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _signature(links)
