@@ -114,6 +114,7 @@ def format_chats(
     vocabulary: str = DEFAULT_VOCABULARY,
 ) -> DataFrame:
     """One row per conversation: its id, formatted text, token ids, their spans in code points, and the loss mask."""
+    common.bound_batches(df.sparkSession)
     with open(vocabulary, "rb") as f:
         tokens = f.read()
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that Python code handles at once; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,6 +34,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of BATCH_BYTES at most (or one longer text), so that a worker's memory is bound.
+
+    The setting is the session's; a smaller one is kept.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)

@@ -168,6 +168,7 @@ def mix(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The columns `keep` of `df` (all), and a struct `mixing`: topic, n_words, probability, sampled."""
+    common.bound_batches(df.sparkSession)
     lang = folded(F.col("lang"), targets.get("lang"))
     model = fit_topics(df, lang, key, text)
 

@@ -268,6 +268,7 @@ def sample_encode(
 
     The last two come from decoding the drawn ids again: lossless says that the bytes are the text's.
     """
+    common.bound_batches(df.sparkSession)
     proto = read_model(df.sparkSession, model)
 
     @F.arrow_udf("struct<token_ids:array<int>,n_tokens:bigint,decoded_sha256:string,lossless:boolean>")

@@ -258,6 +258,7 @@ def is_held_out(key):
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> Additive:
     """Fit on at most `rows` labelled documents that are not held out, the first by a hash of their id."""
+    common.bound_batches(docs.sparkSession)
     usable = labels.select(F.col(key).alias("k"), F.col("quality").alias("q")).filter("k IS NOT NULL AND q IS NOT NULL")
     usable = usable.filter(~is_held_out(F.col("k"))).groupBy("k").agg(F.avg("q").alias("q"))
     chosen = usable.orderBy(F.xxhash64("k"), "k").limit(rows)  # the bound that lets it be broadcast

@@ -367,6 +367,7 @@ def near_duplicates(
     if candidates == "blocks" and (words > 1 or radius > 3):
         raise ValueError("block keys serve 64 bits and a radius of 3 at most")
     anchors = candidates == "anchors"
+    common.bound_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("id"), fingerprints(F.col(text), shingle, words, anchors).alias("s"))
     rows = common.materialise(rows.select("id", "s.fp", "s.anchors"), "simhash")
     classes = rows.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node"), F.min("anchors").alias("anchors"))

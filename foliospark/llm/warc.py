@@ -170,6 +170,7 @@ def write_warc(pages: DataFrame, path: str, level: int = 6) -> None:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
+    common.bound_batches(pages.sparkSession)
     marked = mark_revisits(pages.select("page_id", "url", "html"))
     rows = marked.select("page_id", "url", F.encode(common.text_of(F.col("html")), "UTF-8").alias("body"), "payload_digest", "refers_to")
     rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\x00").text(path)
