@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 ALIGNED_WITHIN = 1e-6
 
 
+MATRIX = ("a", "b", "c", "d", "e", "f")
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def fields(of: Column | str, names: tuple[str, ...], prefix: str | None = None) -> list[Column]:
+    """A struct's fields as columns prefix_name; the prefix of a named column is its name."""
+    whole, prefix = (F.col(of), prefix or of) if isinstance(of, str) else (of, prefix)
+    return [whole[n].alias(f"{prefix}_{n}") for n in names]
+
+
+def columns(prefix: str, names: tuple[str, ...]) -> list[Column]:
+    """The columns that `fields` made."""
+    return [F.col(f"{prefix}_{n}") for n in names]
+
+
 def matrix(a, b, c, d, e, f) -> Column:
     return F.struct(*[_double(v).alias(n) for n, v in zip("abcdef", (a, b, c, d, e, f), strict=True)])
 

@@ -21,23 +21,29 @@ def plan_images(placements: DataFrame, key: list[str], profile: Profile | None =
     `planned` is false for images to be left alone: less than two pixels wide or high, before or after the crop.
     """
     profile = profile or Web()
-    m, foot = F.col("ctm"), F.col("foot")
-    seen = placements.withColumn("foot", g.footprint(m)).withColumn("aligned", g.is_aligned(m))
-    seen = seen.withColumn("vis", F.when(F.col("clip").isNull(), foot).otherwise(g.intersection(foot, F.col("clip"))))
-    wide, high = foot["x1"] - foot["x0"], foot["y1"] - foot["y0"]
-    vis = F.col("vis")
-    shown = F.col("aligned") & (vis["x1"] > vis["x0"]) & (vis["y1"] > vis["y0"]) & (wide > 0) & (high > 0)
-    seen = seen.withColumn("shown", shown)
-    left, right = (vis["x0"] - foot["x0"]) / wide, (vis["x1"] - foot["x0"]) / wide
-    low, top = (vis["y0"] - foot["y0"]) / high, (vis["y1"] - foot["y0"]) / high
+    # Every step is a set of plain columns: nested structs would be inlined into each other and grow beyond what compiles.
+    seen = placements.select(*key, *(order or []), "px_w", "px_h", *g.fields("ctm", g.MATRIX), *g.fields("clip", g.BOX), F.col("clip").isNull().alias("open"))
+    m, clip = g.matrix(*g.columns("ctm", g.MATRIX)), g.box(*g.columns("clip", g.BOX))
+    seen = seen.select("*", g.is_aligned(m).alias("aligned"), *g.fields(g.footprint(m), g.BOX, "foot"))
+    foot = g.box(*g.columns("foot", g.BOX))
+    cut = g.fields(g.intersection(foot, clip), g.BOX, "vis")
+    whole = g.columns("foot", g.BOX)
+    seen = seen.select("*", *[F.when(F.col("open"), w).otherwise(c).alias(f"vis_{n}") for n, w, c in zip(g.BOX, whole, cut, strict=True)])
+    foot_x0, foot_y0, foot_x1, foot_y1 = g.columns("foot", g.BOX)
+    vis_x0, vis_y0, vis_x1, vis_y1 = g.columns("vis", g.BOX)
+    seen = seen.select("*", (foot_x1 - foot_x0).alias("wide"), (foot_y1 - foot_y0).alias("high"))
+    wide, high = F.col("wide"), F.col("high")
+    seen = seen.withColumn("shown", F.col("aligned") & (vis_x1 > vis_x0) & (vis_y1 > vis_y0) & (wide > 0) & (high > 0))
+    spans = {"left": (vis_x0 - foot_x0) / wide, "right": (vis_x1 - foot_x0) / wide, "low": (vis_y0 - foot_y0) / high, "top": (vis_y1 - foot_y0) / high}
+    seen = seen.select("*", *[F.when(F.col("shown"), c).alias(n) for n, c in spans.items()])
     mirrored, flipped = m["a"] < 0, m["d"] < 0
     parts = {
-        "u0": F.when(mirrored, 1 - right).otherwise(left),
-        "u1": F.when(mirrored, 1 - left).otherwise(right),
-        "v0": F.when(flipped, 1 - top).otherwise(low),
-        "v1": F.when(flipped, 1 - low).otherwise(top),
+        "u0": F.when(mirrored, 1 - F.col("right")).otherwise(F.col("left")),
+        "u1": F.when(mirrored, 1 - F.col("left")).otherwise(F.col("right")),
+        "v0": F.when(flipped, 1 - F.col("top")).otherwise(F.col("low")),
+        "v1": F.when(flipped, 1 - F.col("low")).otherwise(F.col("top")),
     }
-    seen = seen.select("*", *[F.when(F.col("shown"), c).alias(n) for n, c in parts.items()])
+    seen = seen.select("*", *[c.alias(n) for n, c in parts.items()])
     along, up = F.hypot(m["a"], m["b"]), F.hypot(m["c"], m["d"])
     size = F.struct("px_w", "px_h")
     first = F.min_by(size, F.struct(*order)) if order else F.min(size)

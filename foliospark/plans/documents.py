@@ -31,7 +31,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 made.append((f"made/{v}.pdf", document.save(compact=False)))
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], names=["path", "content"])
 
-    return pictures(spark, sf_dir).mapInArrow(make, "path string, content binary")
+    spread = pictures(spark, sf_dir).repartition(pipeline.tasks(table(spark, sf_dir, "embeddings")), "vec_id")
+    return spread.mapInArrow(make, "path string, content binary")
 
 
 def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:

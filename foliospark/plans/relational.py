@@ -30,16 +30,22 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("x", ((k % 97) * 9).cast("double")).withColumn("y", ((k % 53) * 3 + (n % 2) * 200).cast("double"))
     w, h, x, y = (F.col(c) for c in "whxy")
     turned, mirrored = k % 5 == 0, F.col("l_returnflag") == "R"
-    ctm = (
-        F.when(turned, g.matrix(0.0, w, -h, 0.0, x, y))
-        .when(mirrored, g.matrix(-w, 0.0, 0.0, h, x + w, y))
-        .otherwise(g.matrix(w, 0.0, 0.0, h, x, y))
+    zero = F.lit(0.0)
+    parts = (
+        F.when(turned, zero).when(mirrored, -w).otherwise(w),
+        F.when(turned, w).otherwise(zero),
+        F.when(turned, -h).otherwise(zero),
+        F.when(turned, zero).otherwise(h),
+        F.when(~turned & mirrored, x + w).otherwise(x),
+        y,
     )
-    clip = F.when(k % 3 != 0, g.box(x, y, x + w * (0.25 + 5.0 * F.col("l_discount")), y + h))
+    ctm = g.matrix(*parts)
+    # Without a clip of its own, an image is clipped to the page.
+    own = [F.when(k % 3 != 0, side) for side in (x, y, x + w * (0.25 + 5.0 * F.col("l_discount")), y + h)]
     return rows.select(
         k.alias("objgen"),
         ctm.alias("ctm"),
-        g.intersection(clip, g.box(*PAGE)).alias("clip"),
+        g.intersection(g.box(*own), g.box(*PAGE)).alias("clip"),
         F.when(k % 19 == 0, 1).otherwise(200 + 16 * (k % 50)).cast("int").alias("px_w"),
         (150 + 9 * (k % 50)).cast("int").alias("px_h"),
         n.alias("seq"),
@@ -143,19 +149,21 @@ FROM dpi
 
 def geometry_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footprint, visible part, hull with the page, and a mapped point of each drawing under a doubled matrix."""
-    rows = placements(spark, sf_dir).withColumn("foot", g.footprint(F.col("ctm")))
-    rows = rows.withColumn("vis", F.when(F.col("clip").isNull(), F.col("foot")).otherwise(g.intersection(F.col("foot"), F.col("clip"))))
-    rows = rows.withColumn("hull", g.hull(F.col("vis"), F.when(F.col("objgen") % 2 == 0, g.box(*PAGE))))
-    doubled = g.product(F.col("ctm"), g.matrix(2.0, 0.0, 0.0, 2.0, 1.0, -1.0))
-    rows = rows.withColumn("m", doubled)
-    x, y = g.mapped(F.col("m"), F.lit(0.5), F.lit(0.25))
+    rows = placements(spark, sf_dir)
+    rows = rows.select("objgen", "seq", *g.fields("ctm", g.MATRIX), *g.fields("clip", g.BOX))
+    m = g.matrix(*g.columns("ctm", g.MATRIX))
+    rows = rows.select("*", *g.fields(g.footprint(m), g.BOX, "foot"))
+    vis = g.intersection(g.box(*g.columns("foot", g.BOX)), g.box(*g.columns("clip", g.BOX)))
+    rows = rows.select("*", *g.fields(vis, g.BOX, "vis"))
+    hull = g.hull(g.box(*g.columns("vis", g.BOX)), F.when(F.col("objgen") % 2 == 0, g.box(*PAGE)))
+    x, y = g.mapped(g.product(m, g.matrix(2.0, 0.0, 0.0, 2.0, 1.0, -1.0)), F.lit(0.5), F.lit(0.25))
     return rows.select(
         "objgen",
         "seq",
-        g.is_aligned(F.col("ctm")).alias("aligned"),
-        *[F.col(f"foot.{c}").alias(f"foot_{c}") for c in ("x0", "y0", "x1", "y1")],
-        *[F.col(f"vis.{c}").alias(f"vis_{c}") for c in ("x0", "y0", "x1", "y1")],
-        *[F.col(f"hull.{c}").alias(f"hull_{c}") for c in ("x0", "y0", "x1", "y1")],
+        g.is_aligned(m).alias("aligned"),
+        *g.columns("foot", g.BOX),
+        *g.columns("vis", g.BOX),
+        *g.fields(hull, g.BOX, "hull"),
         x.alias("mapped_x"),
         y.alias("mapped_y"),
     )
