@@ -30,6 +30,7 @@ TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
 BINS = 64
 ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAST_HESSIAN, RIDGE = 120, 40, 6, 0.12, 4.0, 2.0
+GOOD_WEIGHT = 3.0  # to lose a good document is as bad as to keep three others
 LONG = 16 << 20  # bytes of a text from which it is read in windows
 
 LOWER, UPPER, DIGIT, SPACE, BREAK, STOP, SYMBOL, HIGH, CONTROL = range(9)
@@ -200,8 +201,8 @@ def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     return total, step
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Additive:
-    """Train on feature rows and 0/1 labels. The result depends on the rows' values, not on their order or any seed."""
+def fit(x: np.ndarray, y: np.ndarray, good_weight: float = 1.0) -> Additive:
+    """Train on feature rows and 0/1 labels, those of 1 with that weight. The result depends on the rows' values, not on their order or any seed."""
     ones = float(y.sum())
     prior = (ones + 1) / (len(y) + 2)
     model = Additive(float(np.log(prior / (1 - prior))))
@@ -214,10 +215,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     model.tables = [np.zeros(len(e) + 1) for e in model.edges]
     b = model.bins(x)
     total = np.full(len(y), model.base)
+    weight = np.where(y > 0, good_weight, 1.0)
 
     def gradients():
         p = 1 / (1 + np.exp(-total))
-        return p - y, np.maximum(p * (1 - p), 1e-6)
+        return weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
 
     for _ in range(ROUNDS):
         for k, t in enumerate(model.tables):
@@ -265,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     seen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
     got = seen.select(F.arrow_udf(feature_lists, "array<double>")(common.text_of(F.col("t"))).alias("x"), (F.col("q") > 0.5).cast("int").alias("y")).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(NAMES))
-    return fit(x, got["y"].to_numpy(int))
+    return fit(x, got["y"].to_numpy(int), GOOD_WEIGHT)
 
 
 def score_texts(df: DataFrame, model: Additive, text: str = "text", out: str = "score") -> DataFrame:
