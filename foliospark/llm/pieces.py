@@ -12,7 +12,7 @@ is a chain of word lattices, filtered once for each distinct word of a slice and
 
 Edge cases: a null or empty text has no pieces and decodes to the empty text; a null key is a key like any other; repeated
 rows get equal pieces; a literal U+2581 is written in byte pieces and so survives; bytes that are no UTF-8 do too. A text
-is handled whole; memory is bound by the slice (4 MB) or by one longer text.
+is handled whole; memory is bound by the slice (2 MB) or by one longer text.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ DEFAULT_MODEL = os.environ.get("FOLIOSPARK_PIECE_MODEL", "/opt/tokenizers/piece_
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: A factor for each byte of a piece; it keeps sums near 1 and cancels out, for all paths of a word have the same bytes.
 PER_BYTE = float(np.exp(0.45))
+LATTICE_BYTES = 2 << 20  # text whose lattices are held at once
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -277,7 +278,7 @@ def sample_encode(
         data, offsets = common.buffer(texts)
         hashed = common.mix64(keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         out_ids, out_n, digests, same = [], [], [], []
-        for i, j in common.slices(offsets):
+        for i, j in common.slices(offsets, LATTICE_BYTES):
             part, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             ids, place = made.sample(part, cut, hashed[i:j])
             back, back_cut = made.decode(ids, place)
