@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import common, mixing, pieces, quality, secret_scan, simhash
 
-SHINGLE, SIMILARITY, WORDS, BLOCK = 5, 0.8, 16, 1024
+SHINGLE, SIMILARITY, WORDS, BLOCK = 5, 0.8, 64, 1024
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of texts that share 0.8 of their five-word shingles.
 
-    1024 bits tell such texts from those that share 0.7 far better than 64 would. Rows with a null id stay.
+    4096 bits tell such texts from those that share 0.7 far better than 64 would. Rows with a null id stay.
     """
     found = simhash.near_duplicates(
         docs, shingle=SHINGLE, words=WORDS, radius=simhash.radius_for(SIMILARITY, 64 * WORDS), candidates="anchors", block=BLOCK

@@ -38,7 +38,7 @@ ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 PERMUTATIONS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Added to a shingle's hash before it is mixed into the hashes of further words.
 STEPS = np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-_LANES = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], np.uint64)
+FEW = 512  # hashes whose bits are summed as they are
 
 
 def radius_for(similarity: float, bits: int) -> int:
@@ -70,22 +70,35 @@ def shingle_hashes(raw: bytes, size: int):
 
 
 def _counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit, the highest first."""
-    lanes = _LANES[hashes.astype(">u8").view(np.uint8).reshape(-1, 8)]
-    sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)  # byte lanes hold 255 at most
-    return sums.view(np.uint8).reshape(-1, 8, 8).sum(axis=0, dtype=np.int64)[:, ::-1].reshape(64)
+    """(words, 64) numbers of set bits, the highest first, in each row of (words, n) hashes.
+
+    Three hashes at a time become a sum and a carry of twice the weight, until few are left of each weight.
+    """
+    total, weight, few = np.zeros((len(hashes), 64), np.int64), 1, max(8, FEW // len(hashes))
+    while hashes.shape[1]:
+        carries = []
+        while hashes.shape[1] > few:
+            m = hashes.shape[1] // 3
+            x, y, z = hashes[:, :m], hashes[:, m : 2 * m], hashes[:, 2 * m : 3 * m]
+            either = x ^ y
+            carries.append((x & y) | (either & z))
+            hashes = np.concatenate([either ^ z, hashes[:, 3 * m :]], axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(hashes).astype(">u8").view(np.uint8), axis=1)
+        total += weight * bits.reshape(len(hashes), -1, 64).sum(axis=1, dtype=np.int64)
+        hashes, weight = np.concatenate([hashes[:, :0], *carries], axis=1), weight * 2
+    return total
 
 
 def signature(raw: bytes, size: int, words: int, anchors: bool) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint of `words` 64-bit words, least hash under each permutation) of a text."""
     counts = np.zeros((words, 64), np.int64)
     least = np.full(len(PERMUTATIONS) if anchors else 0, ONES)
-    n = 0
+    n, step = 0, max(1, WINDOW // words)
     for h in shingle_hashes(raw, size):
         n += len(h)
-        counts[0] += _counts(h)
-        for w in range(1, words):
-            counts[w] += _counts(common.mix64(h + STEPS[w - 1]))
+        for i in range(0, len(h), step):
+            part = h[None, i : i + step]
+            counts += _counts(np.concatenate([part, common.mix64(part + STEPS[: words - 1, None])]))
         for k in range(len(least)):
             least[k] = np.minimum(least[k], (h * PERMUTATIONS[k]).min())
     return np.packbits(counts * 2 > n, axis=1).view(">u8").astype(np.uint64)[:, 0], least

@@ -21,7 +21,7 @@ def test_stages(spark):
 
     single = common.materialise(p.drop_near_copies(spark, kept, sf), "n")
     before, after = ({r.doc_id: r.text for r in x.collect()} for x in (kept, single))
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(kept, shingle=5, words=16, radius=simhash.radius_for(0.8, 1024), candidates="anchors").collect()}
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(kept, shingle=5, words=p.WORDS, radius=simhash.radius_for(0.8, 64 * p.WORDS), candidates="anchors").collect()}
     assert set(after) == {i for i in before if found[i] == i}
     texts = {}
     for i in sorted(before):
