@@ -1,7 +1,7 @@
-"""Baseline JPEG with numpy: an encoder with fitted Huffman tables, and a decoder.
+"""JPEG with numpy: an encoder of baseline and progressive files with fitted Huffman tables, and a decoder.
 
 The encoder's pixels can be had without its bytes (`Scan.pixels`), so that a search for a quality decodes what it would write
-without writing it. The decoder reads baseline and extended sequential scans of 8 bits, and says no to others.
+without writing it. The decoder reads sequential and progressive files of 8 bits with Huffman codes, and says no to others.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ CHROMA = np.array([
 ])
 _K = np.arange(8)
 DCT = np.sqrt(np.where(_K == 0, 1, 2) / 8)[:, None] * np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16)
+MOST_ENDED = 0x7FFF  # blocks that one symbol can end
+BANDS = [(1, 5), (6, 63)]  # of a progressive file's scans after the mean values
 FULL_CHROMA = 90  # the quality from which colour isn't subsampled
 
 
 class Unreadable(ValueError):
-    """No baseline JPEG, or a damaged one."""
+    """No JPEG of a kind that is read here, or a damaged one."""
 
 
 def quantisers(quality: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +85,12 @@ class Scan:
         tables = quantisers(quality)
         return _restore([q * tables[min(k, 1)].reshape(8, 8) for k, q in enumerate(self.quantised(quality))], self.shape, [self.step] + [1] * (len(self.blocks) - 1))
 
-    def encode(self, quality: int) -> bytes:
+    def encode(self, quality: int, progressive: bool = False) -> bytes:
         s, found = self.step, []
         rows, cols = self.blocks[0].shape[0] // s, self.blocks[0].shape[1] // s
         unit = s * s + (0 if self.grey else 2)
-        for k, q in enumerate(self.quantised(quality)):
+        blocks = self.quantised(quality)
+        for k, q in enumerate(blocks):
             r, c = np.divmod(np.arange(q.shape[0] * q.shape[1]), q.shape[1])
             place = ((r // s) * cols + c // s) * unit + (r % s) * s + c % s if k == 0 else (r * cols + c) * unit + s * s + k - 1
             order = np.argsort(place, kind="stable")
@@ -98,15 +101,17 @@ class Scan:
         out = b"\xff\xd8\xff\xe0\x00\x10JFIF\x00\x01\x01\x00\x00\x01\x00\x01\x00\x00"
         out += b"".join(b"\xff\xdb\x00\x43" + bytes([i]) + t[ZIGZAG].astype(np.uint8).tobytes() for i, t in enumerate(tables))
         parts = b"".join(bytes([k + 1, 0x11 * (s if k == 0 else 1), min(k, 1)]) for k in range(len(found)))
-        out += b"\xff\xc0" + (8 + len(parts)).to_bytes(2, "big") + b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(found)]) + parts
+        out += (b"\xff\xc2" if progressive else b"\xff\xc0") + (8 + len(parts)).to_bytes(2, "big") + b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(found)]) + parts
         symbols = [_symbols(place, q, k) for k, (place, q) in enumerate(found)]
+        if progressive:
+            return out + self._dc_scan(symbols) + b"".join(self._ac_scan(k, q, *band) for band in BANDS for k, q in enumerate(blocks)) + b"\xff\xd9"
         codes = {}
         for table in range(len(tables)):
             for kind in (0, 1):
                 used = np.concatenate([sy[(kd == kind)] for k, (_, kd, sy, _, _) in enumerate(symbols) if min(k, 1) == table])
                 counts, values = _code_lengths(np.bincount(used, minlength=256))
                 codes[table, kind] = _codes(counts, values)
-                out += b"\xff\xc4" + (19 + len(values)).to_bytes(2, "big") + bytes([kind << 4 | table]) + bytes(counts) + bytes(values)
+                out += _huffman(kind, table, counts, values)
         out += b"\xff\xda" + (6 + 2 * len(found)).to_bytes(2, "big") + bytes([len(found)])
         out += b"".join(bytes([k + 1, 0x11 * min(k, 1)]) for k in range(len(found))) + b"\x00\x3f\x00"
         place, value, length = [], [], []
@@ -119,6 +124,36 @@ class Scan:
         order = np.argsort(place, kind="stable")
         return out + _pack(value[order], length[order]) + b"\xff\xd9"
 
+    def _dc_scan(self, symbols) -> bytes:
+        """The mean values of all components, interleaved."""
+        out, place, value, length = b"", [], [], []
+        for k, (at, kind, symbol, extra, size) in enumerate(symbols):
+            if k < 2:
+                counts, values = _code_lengths(np.bincount(np.concatenate([x[2][x[1] == 0] for x in symbols[k : (1, 3)[k]]]), minlength=256))
+                code, bits = _codes(counts, values)
+                out += _huffman(0, k, counts, values)
+            dc = kind == 0
+            place.append(at[dc])
+            value.append(code[symbol[dc]] << size[dc] | extra[dc])
+            length.append(bits[symbol[dc]] + size[dc])
+        place, value, length = (np.concatenate(x) for x in (place, value, length))
+        order = np.argsort(place, kind="stable")
+        out += b"\xff\xda" + (6 + 2 * len(symbols)).to_bytes(2, "big") + bytes([len(symbols)])
+        out += b"".join(bytes([k + 1, 0x10 * min(k, 1)]) for k in range(len(symbols))) + b"\x00\x00\x00"
+        return out + _pack(value[order], length[order])
+
+    def _ac_scan(self, k: int, q: np.ndarray, first: int, last: int) -> bytes:
+        """One band of one component, of the blocks that the image reaches."""
+        h, w = (-(-n // (1 if k == 0 else self.step)) for n in self.shape)
+        q = q[: -(-h // 8), : -(-w // 8)].reshape(-1, 64)[:, ZIGZAG[first : last + 1]]
+        at, symbol, extra, size = _band_symbols(q)
+        order = np.argsort(at, kind="stable")
+        symbol, extra, size = symbol[order], extra[order], size[order]
+        counts, values = _code_lengths(np.bincount(symbol, minlength=256))
+        code, bits = _codes(counts, values)
+        out = _huffman(1, min(k, 1), counts, values) + b"\xff\xda\x00\x08\x01" + bytes([k + 1, min(k, 1), first, last, 0])
+        return out + _pack(code[symbol] << size | extra, bits[symbol] + size)
+
 
 def _restore(blocks, shape, steps) -> np.ndarray:
     planes = []
@@ -162,6 +197,37 @@ def _symbols(place: np.ndarray, q: np.ndarray, component: int):
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _band_symbols(q: np.ndarray):
+    """(sort key, symbol, extra bits, their number) of a band of blocks in scan order; runs of ended blocks share a symbol."""
+    n, width = q.shape
+    block, at = np.nonzero(q)
+    v = q[block, at]
+    fresh = np.concatenate([[True], block[1:] != block[:-1]]) if len(block) else np.zeros(0, bool)
+    run = at - np.where(fresh, -1, np.concatenate([[-1], at[:-1]])[: len(at)]) - 1
+    size = _size(v)
+    parts = [(block * 256 + at * 2 + 1, (run % 16) << 4 | size, np.where(v < 0, v + (1 << size) - 1, v), size)]
+    again = np.repeat(np.arange(len(v)), run // 16)
+    zero = np.zeros(len(again), np.int64)
+    parts.append((block[again] * 256 + at[again] * 2, zero + 0xF0, zero, zero))
+    last = np.full(n, -1)
+    np.maximum.at(last, block, at)
+    ended, empty = last < width - 1, last < 0
+    follows = np.concatenate([[False], ended[:-1]])
+    heads = np.flatnonzero(ended & ~(empty & follows))
+    upto = np.flatnonzero(ended & ~np.concatenate([(empty & ended)[1:], [False]])) + 1
+    pieces = -(-(upto - heads) // MOST_ENDED)
+    which = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(heads, pieces) + which * MOST_ENDED
+    length = np.minimum(np.repeat(upto, pieces) - start, MOST_ENDED)
+    size = _size(length) - 1
+    parts.append((start * 256 + 255, size << 4, length - (1 << size), size))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _huffman(kind: int, table: int, counts: list[int], values: list[int]) -> bytes:
+    return b"\xff\xc4" + (19 + len(values)).to_bytes(2, "big") + bytes([kind << 4 | table]) + bytes(counts) + bytes(values)
+
+
 def _code_lengths(freq: np.ndarray) -> tuple[list[int], list[int]]:
     """(number of codes of 1 to 16 bits, symbols by length): a prefix code that leaves all-ones unused."""
     used = [int(s) for s in np.flatnonzero(freq)] or [0]
@@ -241,23 +307,32 @@ def decode(data: bytes) -> np.ndarray:
                 n = sum(body[1:17])
                 huffman[body[0] >> 4, body[0] & 15] = _lookup(list(body[1:17]), list(body[17 : 17 + n]))
                 body = body[17 + n :]
-        elif marker in (0xC0, 0xC1):
+        elif marker in (0xC0, 0xC1, 0xC2):
             if body[0] != 8:
                 raise Unreadable("not 8 bits")
             h, w = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-            frame = (h, w, [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])])
-        elif 0xC2 <= marker <= 0xCF and marker != 0xC8:
-            raise Unreadable("not baseline")
+            parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+            frame = _Frame(h, w, parts, marker == 0xC2)
+        elif 0xC3 <= marker <= 0xCF and marker != 0xC8:
+            raise Unreadable("neither sequential nor progressive with Huffman codes")
         elif marker == 0xDD:
             restart = int.from_bytes(body[:2], "big")
         elif marker == 0xEE and body[:5] == b"Adobe":
             adobe = body[11]
         elif marker == 0xDA:
-            if frame is None or body[0] != len(frame[2]):
-                raise Unreadable("several scans")
-            chosen = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
-            return _decode_scan(data[at:], frame, quant, huffman, chosen, restart, adobe)
-    raise Unreadable("no scan")
+            if frame is None:
+                raise Unreadable("a scan before its frame")
+            names = [p[0] for p in frame.parts]
+            chosen = [(names.index(body[1 + 2 * k]), body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
+            first, last, approximation = body[1 + 2 * body[0] : 4 + 2 * body[0]]
+            end = at
+            while end + 1 < len(data) and not (data[end] == 0xFF and data[end + 1] not in (0x00, 0xFF) and not 0xD0 <= data[end + 1] <= 0xD7):
+                end += 1
+            frame.scan(_Bits(data[at:end]), huffman, chosen, first, last, approximation >> 4, approximation & 15, restart)
+            at = end
+    if frame is None or not frame.scans:
+        raise Unreadable("no scan")
+    return frame.samples(quant, adobe)
 
 
 def _lookup(counts: list[int], values: list[int]) -> dict[tuple[int, int], int]:
@@ -306,6 +381,11 @@ class _Bits:
         v = self.held >> self.n & ((1 << size) - 1)
         return v if v >> (size - 1) else v - (1 << size) + 1
 
+    def take(self, size: int) -> int:
+        self.fill(size)
+        self.n -= size
+        return self.held >> self.n & ((1 << size) - 1)
+
     def restart(self) -> None:
         self.held = self.n = 0
         while self.at + 1 < len(self.data) and not (self.data[self.at] == 0xFF and 0xD0 <= self.data[self.at + 1] <= 0xD7):
@@ -313,50 +393,127 @@ class _Bits:
         self.at += 2
 
 
-def _decode_scan(data, frame, quant, huffman, chosen, restart, adobe) -> np.ndarray:
-    h, w, parts = frame
-    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
-    if len(parts) == 1:
-        parts = [(parts[0][0], 1, 1, parts[0][3])]
-        across = down = 1
-    cols, rows = -(-w // (8 * across)), -(-h // (8 * down))
-    blocks = [np.zeros((rows * v, cols * u, 64), np.int64) for _, u, v, _ in parts]
-    bits, last, zig = _Bits(data), [0] * len(parts), ZIGZAG.tolist()
-    for unit in range(rows * cols):
-        if restart and unit and unit % restart == 0:
-            bits.restart()
-            last = [0] * len(parts)
-        r, c = divmod(unit, cols)
-        for k, (name, u, v, _) in enumerate(parts):
-            dc, ac = huffman[0, chosen[name] >> 4], huffman[1, chosen[name] & 15]
-            for y in range(v):
-                for x in range(u):
-                    block = blocks[k][r * v + y, c * u + x]
-                    last[k] += bits.signed(bits.symbol(dc))
-                    block[0] = last[k]
-                    i = 1
-                    while i < 64:
-                        s = bits.symbol(ac)
-                        if not s & 15:
-                            if s != 0xF0:
-                                break
-                            i += 16
-                            continue
-                        i += s >> 4
-                        if i > 63:
-                            raise Unreadable("too long a run")
-                        block[zig[i]] = bits.signed(s & 15)
-                        i += 1
-    planes = []
-    for k, (_, u, v, q) in enumerate(parts):
-        table = np.zeros(64, np.int64)
-        table[ZIGZAG] = quant[q]
-        p = np.clip(_plane(DCT.T @ (blocks[k] * table).reshape(*blocks[k].shape[:2], 8, 8) @ DCT) + 128, 0, 255)
-        planes.append(np.repeat(np.repeat(p, down // v, 0), across // u, 1)[:h, :w])
-    if len(planes) == 1:
-        return np.round(planes[0]).astype(np.uint8)
-    if len(planes) == 3 and adobe != 0:
-        return to_rgb(*planes)
-    if len(planes) == 4 and adobe == 2:
-        planes[:3] = list(np.moveaxis(to_rgb(*planes[:3]).astype(float), -1, 0))
-    return np.round(np.stack(planes, -1)).astype(np.uint8)
+class _Frame:
+    """The coefficients of a file, which its scans fill."""
+
+    def __init__(self, h: int, w: int, parts: list[tuple[int, int, int, int]], progressive: bool):
+        if len(parts) == 1:
+            parts = [(parts[0][0], 1, 1, parts[0][3])]
+        self.h, self.w, self.parts, self.progressive, self.scans = h, w, parts, progressive, 0
+        self.across, self.down = max(p[1] for p in parts), max(p[2] for p in parts)
+        self.cols, self.rows = -(-w // (8 * self.across)), -(-h // (8 * self.down))
+        self.blocks = [np.zeros((self.rows * v, self.cols * u, 64), np.int64) for _, u, v, _ in parts]
+
+    def units(self, components: list[int]):
+        """(component, block) of each coded unit in order; a scan of one component has only blocks that the image reaches."""
+        if len(components) == 1:
+            k = components[0]
+            _, u, v, _ = self.parts[k]
+            h, w = -(-self.h * v // self.down), -(-self.w * u // self.across)
+            for row in self.blocks[k][: -(-h // 8), : -(-w // 8)]:
+                for block in row:
+                    yield [(k, block)]
+            return
+        for r in range(self.rows):
+            for c in range(self.cols):
+                unit = []
+                for k in components:
+                    _, u, v, _ = self.parts[k]
+                    unit += [(k, self.blocks[k][r * v + y, c * u + x]) for y in range(v) for x in range(u)]
+                yield unit
+
+    def scan(self, bits: _Bits, huffman, chosen, first: int, last: int, high: int, low: int, restart: int) -> None:
+        self.scans += 1
+        tables = {k: (huffman.get((0, dc)), huffman.get((1, ac))) for k, dc, ac in chosen}
+        before, ended, zig = dict.fromkeys(tables, 0), 0, ZIGZAG.tolist()
+        for n, unit in enumerate(self.units(list(tables))):
+            if restart and n and n % restart == 0:
+                bits.restart()
+                before, ended = dict.fromkeys(tables, 0), 0
+            for k, block in unit:
+                dc, ac = tables[k]
+                if not self.progressive:
+                    before[k] += bits.signed(bits.symbol(dc))
+                    block[0] = before[k]
+                    _first_pass(bits, ac, block, zig, 1, 63, 0, 0)
+                elif not first:
+                    if not high:
+                        before[k] += bits.signed(bits.symbol(dc))
+                        block[0] = before[k] << low
+                    elif bits.take(1):
+                        block[0] |= 1 << low
+                elif not high:
+                    ended = _first_pass(bits, ac, block, zig, first, last, low, ended)
+                else:
+                    ended = _next_pass(bits, ac, block, zig, first, last, 1 << low, ended)
+
+    def samples(self, quant, adobe) -> np.ndarray:
+        planes = []
+        for (_, u, v, q), blocks in zip(self.parts, self.blocks, strict=True):
+            table = np.zeros(64, np.int64)
+            table[ZIGZAG] = quant[q]
+            p = np.clip(_plane(DCT.T @ (blocks * table).reshape(*blocks.shape[:2], 8, 8) @ DCT) + 128, 0, 255)
+            planes.append(np.repeat(np.repeat(p, self.down // v, 0), self.across // u, 1)[: self.h, : self.w])
+        if len(planes) == 1:
+            return np.round(planes[0]).astype(np.uint8)
+        if len(planes) == 3 and adobe != 0:
+            return to_rgb(*planes)
+        if len(planes) == 4 and adobe == 2:
+            planes[:3] = list(np.moveaxis(to_rgb(*planes[:3]).astype(float), -1, 0))
+        return np.round(np.stack(planes, -1)).astype(np.uint8)
+
+
+def _first_pass(bits: _Bits, table, block, zig, first: int, last: int, low: int, ended: int) -> int:
+    """Read a band of a block; returns how many blocks after it have none."""
+    if ended:
+        return ended - 1
+    i = first
+    while i <= last:
+        s = bits.symbol(table)
+        run, size = s >> 4, s & 15
+        if not size:
+            if run < 15:
+                return (1 << run) - 1 + bits.take(run)
+            i += 16
+            continue
+        i += run
+        if i > last:
+            raise Unreadable("too long a run")
+        block[zig[i]] = bits.signed(size) * (1 << low)
+        i += 1
+    return 0
+
+
+def _next_pass(bits: _Bits, table, block, zig, first: int, last: int, one: int, ended: int) -> int:
+    """Read one more bit of a band's values; returns how many blocks after it have no new ones."""
+
+    def passed(i: int, zeros: int) -> int:
+        """The place of the zero after so many others, having read a bit of each value before it."""
+        while i <= last:
+            old = int(block[zig[i]])
+            if old:
+                if bits.take(1):
+                    block[zig[i]] = old + (one if old > 0 else -one)
+            elif not zeros:
+                break
+            else:
+                zeros -= 1
+            i += 1
+        return i
+
+    i = first
+    while not ended and i <= last:
+        s = bits.symbol(table)
+        run, size = s >> 4, s & 15
+        if not size and run < 15:
+            ended = (1 << run) + bits.take(run)
+            break
+        new = (one if bits.take(1) else -one) if size else 0
+        i = passed(i, run)
+        if new and i <= last:
+            block[zig[i]] = new
+        i += 1
+    if ended:
+        passed(i, 64)
+        ended -= 1
+    return ended

@@ -23,7 +23,7 @@ class Profile:
     """Options of a run; the defaults are those of the profile `web`.
 
     An axis is downsampled to `resolution_dpi` (None: never) only above `threshold_ratio` times that. `compression_quality`
-    from 0 to 1 moves the floor of fidelity. `progressive_jpeg` is accepted; the built-in encoder writes baseline scans.
+    from 0 to 1 moves the floor of fidelity. `progressive_jpeg` writes JPEG data in scans of rising detail.
     """
 
     resolution_dpi: float | None = 150.0

@@ -98,15 +98,49 @@ def test_jpeg_round_trip(shape, quality):
     data = scan.encode(quality)
     back = jpeg.decode(data)
     assert np.array_equal(back, scan.pixels(quality))
+    assert np.array_equal(jpeg.decode(scan.encode(quality, progressive=True)), back)
     assert pixels.psnr(image, back) > (24 if quality == 40 else 27)
 
 
-def test_jpeg_is_read_by_another_decoder(spark, tmp_path):
-    image = build.gradient(64, 48)
-    (tmp_path / "a.jpg").write_bytes(jpeg.Scan(image, True).encode(95))
-    row = spark.read.format("image").load(str(tmp_path)).select("image.*").first()
-    theirs = np.frombuffer(bytes(row.data), np.uint8).reshape(48, 64, 3)[..., ::-1]
-    assert (row.width, row.height) == (64, 48) and pixels.psnr(image, theirs) > 35
+def test_progressive_jpeg_of_a_flat_picture_ends_runs_of_blocks():
+    scan = jpeg.Scan(np.full((1600, 1480), 9, np.uint8), True)  # 37,000 blocks, more than one symbol can end
+    data = scan.encode(80, progressive=True)
+    assert len(data) < 6000 and np.array_equal(jpeg.decode(data), scan.pixels(80))
+
+
+def by_another(spark, folder):
+    row = spark.read.format("image").load(str(folder)).select("image.*").first()
+    samples = np.frombuffer(bytes(row.data), np.uint8).reshape(row.height, row.width, row.nChannels)
+    return samples[..., ::-1] if row.nChannels == 3 else samples[..., 0]
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+@pytest.mark.parametrize("quality", [75, 95])
+def test_jpeg_is_read_by_another_decoder(spark, tmp_path, quality, progressive):
+    image = build.gradient(67, 45)
+    (tmp_path / "a.jpg").write_bytes(jpeg.Scan(image, quality >= jpeg.FULL_CHROMA).encode(quality, progressive))
+    theirs = by_another(spark, tmp_path)
+    assert theirs.shape == image.shape and pixels.psnr(image, theirs) > 32
+
+
+def test_progressive_jpeg_of_another_encoder(spark, tmp_path):
+    """Its scans refine values bit by bit, which the built-in encoder's don't."""
+    source, folder = tmp_path / "source.jpg", tmp_path / "out"
+    folder.mkdir()
+    source.write_bytes(jpeg.Scan(build.noisy(75, 52), True).encode(95))
+    io = spark._jvm.javax.imageio
+    picture = io.ImageIO.read(spark._jvm.java.io.File(str(source)))
+    writer = io.ImageIO.getImageWritersByFormatName("jpeg").next()
+    options = writer.getDefaultWriteParam()
+    options.setProgressiveMode(io.ImageWriteParam.MODE_DEFAULT)
+    stream = io.ImageIO.createImageOutputStream(spark._jvm.java.io.File(str(folder / "a.jpg")))
+    writer.setOutput(stream)
+    writer.write(None, io.IIOImage(picture, None, None), options)
+    stream.close()
+    data = (folder / "a.jpg").read_bytes()
+    assert b"\xff\xc2" in data and data.count(b"\xff\xda") > 5
+    theirs, ours = by_another(spark, folder), jpeg.decode(data)
+    assert ours.shape == theirs.shape and pixels.psnr(theirs, ours) > 30
 
 
 def test_psnr_mask_and_detail():
