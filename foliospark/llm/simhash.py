@@ -4,12 +4,16 @@
 2. Rows with one fingerprint become one class (pre-aggregated, so that copies cost nothing later).
 3. Each class gets a few candidate keys. `blocks`: fingerprints at most 3 bits apart agree in two of five blocks of bits, so
    ten keys find every pair without exception. `anchors`: the least shingle hashes under six permutations, for wide radii
-   which no block key serves (texts of Jaccard similarity 0.8 miss each other with probability 0.2 ** 6).
+   which no block key serves (texts of Jaccard similarity 0.8 miss each other with probability 0.2 ** 6). Fingerprints
+   are then of distinct shingles, and only filter: the links that count are confirmed, see 6.
 4. Rows are range-partitioned by (key, fingerprint); a frequent key is thus cut into blocks over many tasks. Within a task,
    fingerprints lie as vertical bit planes; a row meets 64 candidates a word, distances grow in carry-save bit counters, and
    words whose 64 distances all exceed the radius are abandoned. Blocks of one key from different tasks meet in a join of
    block pairs. A comparison emits no pairs but a spanning forest of them.
 5. Components are found by star contraction over written tables; the smallest id of each is its name.
+6. With `anchors`, the shingle sets of each such loose component are compared exactly, and only pairs of the asked-for
+   Jaccard similarity link. A component is cut into blocks by a hash; each is searched breadth first on its own and with the
+   first one. What these have not joined to the largest part is then compared with all blocks.
 
 Edge cases: null text is empty; a text without words has fingerprint zero and links like any other; a row with a null id is
 returned with its fingerprint and a null component, and links nothing; repeated rows share a component.
@@ -18,6 +22,7 @@ returned with its fingerprint and a null component, and links nothing; repeated
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -38,16 +43,35 @@ ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 PERMUTATIONS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Added to a shingle's hash before it is mixed into the hashes of further words.
 STEPS = np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+SET_ROWS, SET_SHINGLES = 256, 1 << 17  # rows, and shingles of them, of a block that is compared exactly
 FEW = 512  # hashes whose bits are summed as they are
 
 
+def _differ(both: int, one: int, other: int) -> float:
+    """The probability that a bit differs for sets with `both` common shingles and `one` and `other` of their own."""
+
+    def chance(n: int, least: int) -> float:  # of `least` or more of n
+        return sum(math.comb(n, k) for k in range(max(least, 0), n + 1)) / 2**n
+
+    total = 0.0
+    for k in range(both + 1):
+        a, b = (chance(n, (both + n) // 2 + 1 - k) for n in (one, other))
+        total += math.comb(both, k) / 2**both * (a * (1 - b) + b * (1 - a))
+    return total
+
+
+@lru_cache
 def radius_for(similarity: float, bits: int) -> int:
-    """The distance that texts of that Jaccard similarity keep to in over 98 of 100 cases.
+    """A distance that sets of that Jaccard similarity keep to but for six standard deviations.
 
-    Sets of one size with similarity s have cosine 2s/(1+s); each bit differs with probability acos(cosine)/pi.
+    Large sets with similarity s have a cosine of 2s/(1+s) at least; each bit differs with probability acos(cosine)/pi at
+    most. Small ones, whose counts are often tied, differ more: of those the greatest probability is counted out.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 2.2 * math.sqrt(bits * p * (1 - p)))
+    for both in range(1, 33):
+        for own in range(1, math.floor(both / similarity - both + 1e-9) + 1):
+            p = max(p, *(_differ(both, one, own - one) for one in range(own // 2 + 1)))
+    return math.floor(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
 
 
 # -- fingerprints ----------------------------------------------------------------------------------------------------
@@ -69,6 +93,11 @@ def shingle_hashes(raw: bytes, size: int):
         yield np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
 
 
+def distinct_shingles(raw: bytes, size: int) -> np.ndarray:
+    """A text's shingle set, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(raw, size)]))
+
+
 def _counts(hashes: np.ndarray) -> np.ndarray:
     """(words, 64) numbers of set bits, the highest first, in each row of (words, n) hashes.
 
@@ -90,17 +119,17 @@ def _counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(raw: bytes, size: int, words: int, anchors: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of `words` 64-bit words, least hash under each permutation) of a text."""
+    """(fingerprint of `words` 64-bit words, least hash under each permutation) of a text; with anchors, of its distinct shingles."""
     counts = np.zeros((words, 64), np.int64)
     least = np.full(len(PERMUTATIONS) if anchors else 0, ONES)
     n, step = 0, max(1, WINDOW // words)
-    for h in shingle_hashes(raw, size):
+    for h in [distinct_shingles(raw, size)] if anchors else shingle_hashes(raw, size):
         n += len(h)
         for i in range(0, len(h), step):
             part = h[None, i : i + step]
             counts += _counts(np.concatenate([part, common.mix64(part + STEPS[: words - 1, None])]))
         for k in range(len(least)):
-            least[k] = np.minimum(least[k], (h * PERMUTATIONS[k]).min())
+            least[k] = np.minimum(least[k], (h * PERMUTATIONS[k]).min(initial=ONES))
     return np.packbits(counts * 2 > n, axis=1).view(">u8").astype(np.uint64)[:, 0], least
 
 
@@ -121,6 +150,18 @@ def fingerprints(text: Column, size: int = 3, words: int = 1, anchors: bool = Fa
     return make(common.text_of(text))
 
 
+def shingle_sets(text: Column, size: int) -> Column:
+    """array<bigint> of a text column: the distinct shingles' hashes."""
+
+    @F.arrow_udf("array<bigint>")
+    def make(texts: pa.Array) -> pa.Array:
+        data, offsets = common.buffer(texts)
+        raw = memoryview(data)
+        return _lists([distinct_shingles(bytes(raw[a:b]), size) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+
+    return make(common.text_of(text))
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
     cuts = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
@@ -363,6 +404,144 @@ def block_keys(fp: Column) -> Column:
     )
 
 
+# -- exact confirmation --------------------------------------------------------------------------------------------------
+
+_SETS = "a long, b long, component long, block long, nodes binary, sizes binary, flat binary"
+
+
+def similar(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row that reached it): spanning links of sets, laid end to end, of that Jaccard similarity or more.
+
+    Breadth first: a row meets only those that nothing has reached yet, so a group of copies takes a step for each row.
+    """
+    codes = np.unique(flat, return_inverse=True)[1]
+    first = np.cumsum(sizes) - sizes
+    seen = np.zeros(codes.max(initial=-1) + 1, bool)
+    rest, reached, by = np.flatnonzero(sizes), [], []
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            r = queue.pop()
+            small, large = np.minimum(sizes[rest], sizes[r]), np.maximum(sizes[rest], sizes[r])
+            close = np.flatnonzero(small / large >= similarity)
+            if not len(close):
+                continue
+            n = sizes[rest[close]]
+            start = np.cumsum(n) - n
+            seen[codes[first[r] : first[r] + sizes[r]]] = True
+            both = np.add.reduceat(seen[codes[np.repeat(first[rest[close]] - start, n) + np.arange(n.sum())]], start, dtype=np.int64)
+            seen[codes[first[r] : first[r] + sizes[r]]] = False
+            hit = close[both / (n + sizes[r] - both) >= similarity]
+            queue += rest[hit].tolist()
+            reached.append(rest[hit])
+            by.append(np.full(len(hit), r))
+            rest = np.delete(rest, hit)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *reached]), np.concatenate([none, *by])
+
+
+def _set_batch(a, b, packed=()) -> pa.RecordBatch:
+    n, m = len(a), len(packed)
+    links = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in (a, b)]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    blocks = [pa.concat_arrays([pa.nulls(n, t), pa.array([x[k] for x in packed], t)]) for k, t in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*links, *blocks], names=["a", "b", "component", "block", "nodes", "sizes", "flat"])
+
+
+def _within(similarity: float):
+    """Links inside each block of sorted rows (component, block, node, set, parts); the block too if there are several parts."""
+
+    def close(held):
+        node, size = np.array([h[0] for h in held]), np.array([len(h[1]) for h in held])
+        flat = np.concatenate([h[1] for h in held])
+        a, b = similar(flat, size, similarity)
+        return node, size, flat, node[a], node[b]
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in (0, 1, 2, 4)]
+            cuts, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            for i, (component, block, node, parts) in enumerate(zip(*(c.tolist() for c in columns), strict=True)):
+                if at != (component, block, parts):
+                    if held:
+                        yield from out(at, close(held))
+                    at, held = (component, block, parts), []
+                x = flat[cuts[i] : cuts[i + 1]]
+                if not held or held[-1][0] != node or not np.array_equal(held[-1][1], x):  # repeated rows stand together
+                    held.append((node, x.copy()))
+        if held:
+            yield from out(at, close(held))
+
+    def out(at, found):
+        node, size, flat, a, b = found
+        packed = [(at[0], at[1], node.tobytes(), size.tobytes(), flat.tobytes())] if at[2] > 1 else []
+        if len(a) or packed:
+            yield _set_batch(a, b, packed)
+
+    return run
+
+
+def _between(similarity: float):
+    """Links between two blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = [np.frombuffer(batch.column(k)[i].as_py(), np.int64) for k in range(6)]
+                node, size, flat = (np.concatenate([parts[k], parts[k + 3]]) for k in range(3))
+                a, b = similar(flat, size, similarity)
+                yield _set_batch(node[a], node[b])
+
+    return run
+
+
+def _in_blocks(sets: DataFrame, similarity: float, several: bool = False) -> DataFrame:
+    """_SETS of rows (component, node, set); `several`: blocks go out of components of one block too."""
+    total = sets.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.size("set")).alias("size"))
+    parts = F.greatest(F.ceil(F.col("n") / SET_ROWS), F.ceil(F.col("size") / SET_SHINGLES)).cast("long")
+    many = common.materialise(total.select("component", parts.alias("parts")).filter("parts > 1"), "many")
+    cut = sets.join(many, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
+    if several:
+        cut = cut.withColumn("parts", F.col("parts") + 1)
+    cut = cut.select("component", "block", "node", "set", "parts").repartition("component", "block").sortWithinPartitions("component", "block", "node")
+    return common.materialise(cut.mapInArrow(_within(similarity), _SETS), "sets_linked")
+
+
+def confirmed(docs: DataFrame, loose: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links of that Jaccard similarity that span all such pairs inside loose components (node, component).
+
+    docs: (id, text); a node's text is that of the id.
+    """
+    loose = common.materialise(loose, "loose")
+    sets = docs.join(loose, F.col("id") == F.col("node")).select("component", "node", shingle_sets(F.col("text"), shingle).alias("set"))
+    sets = common.materialise(sets, "sets")
+    made = _in_blocks(sets, similarity)
+    links = made.filter("a IS NOT NULL").select("a", "b")
+    blocks = made.filter("nodes IS NOT NULL").drop("a", "b")
+    if not blocks.limit(1).count():
+        return links
+
+    def between(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.select("component", F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in ("nodes", "sizes", "flat")])
+        met = left.join(right, "component").select("nodes", "sizes", "flat", "nodes2", "sizes2", "flat2")
+        return common.materialise(met.mapInArrow(_between(similarity), _SETS).select("a", "b"), "between")
+
+    links = links.unionByName(between(blocks.filter("block > 0"), blocks.filter("block = 0")))
+    joined = components(links).withColumnRenamed("component", "part")
+    large = blocks.select("component").distinct()
+    placed = loose.join(large, "component", "left_semi").join(joined, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    placed = common.materialise(placed, "placed")
+    counts = placed.groupBy("component", "part").count()
+    most = counts.groupBy("component").agg(F.max(F.struct("count", "part"))["part"].alias("most"))
+    apart = placed.join(common.materialise(most, "most"), "component").filter("part <> most").select("node")
+    apart = common.materialise(apart, "apart")
+    others = _in_blocks(sets.join(apart, "node", "left_semi"), similarity, several=True)
+    links = links.unionByName(others.filter("a IS NOT NULL").select("a", "b"))
+    return links.unionByName(between(others.filter("nodes IS NOT NULL").drop("a", "b"), blocks))
+
+
 def near_duplicates(
     df: DataFrame,
     key: str = "doc_id",
@@ -372,10 +551,12 @@ def near_duplicates(
     words: int = 1,
     candidates: str = "blocks",
     block: int = BLOCK,
+    similarity: float = 0.8,
 ) -> DataFrame:
     """(key, fp array<bigint>, component_id) of every row of `df`.
 
-    `blocks` serves one word and a radius of 3 or less, and finds every link; `anchors` serves any radius.
+    `blocks` serves one word and a radius of 3 or less, and finds every link; `anchors` serves any radius, and links
+    only candidates whose shingle sets have that Jaccard similarity.
     """
     if candidates == "blocks" and (words > 1 or radius > 3):
         raise ValueError("block keys serve 64 bits and a radius of 3 at most")
@@ -397,6 +578,8 @@ def near_duplicates(
     crossed = blocks.join(other, "key").filter("block < block2").select("rows", "rows2").mapInArrow(_cross(words, radius), _OUT)
     links = compared.filter("a IS NOT NULL").select("a", "b").unionByName(crossed.select("a", "b"))
     found = components(links)
+    if anchors:
+        found = components(confirmed(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), found, shingle, similarity))
     named = classes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = rows.join(named, "fp", "left")
     return out.select(F.col("id").alias(key), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
