@@ -2,7 +2,8 @@
 
 Strong kinds are found by their form alone: `assign` (a key word, a sign and a value of 8 characters or more), `access`
 (access identifiers) and `hex` (runs of 32 digits or more). Weak kinds are too common to report by themselves: `key` (a bare
-token of 20 to 128 characters with small and capital letters and digits), `login` (a named user or client) and `endpoint`
+token of 20 characters or more with small and capital letters and digits, and its padding; it may follow a sign or end a
+sentence), `login` (a named user or client) and `endpoint`
 (an address with a scheme). They are candidates only in documents with an identifier, and are reported if complementary
 parts co-occur within a scope, which is REACH code points around a part of the same document:
 
@@ -30,7 +31,8 @@ from foliospark.llm import common
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # an AKIA run is dropped or kept as a whole either way
 HEX = r"[0-9a-f]{32,}"
-KEY = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]{0,127}[0-9])(?=[a-z0-9+/_-]{0,127}[A-Z])(?=[A-Z0-9+/_-]{0,127}[a-z])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_=.-])"
+KEY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"  # taken whole, kept by KEY_PARTS
+KEY_PARTS = ("[a-z]", "[A-Z]", "[0-9]")
 LOGIN = r"""(?i:(user_?(?:name|id)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})"""
 ENDPOINT = r"""(?i:https?|ftps?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+"""
 KINDS = ["assign", "access", "hex", "key", "login", "endpoint"]
@@ -40,18 +42,21 @@ REACH = 256
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
-def spans(text: Column, pattern: str, kind: str, value_group: int | None = None) -> Column:
+def spans(text: Column, pattern: str, kind: str, value_group: int | None = None, parts: tuple[str, ...] = ()) -> Column:
     """Spans of the leftmost, non-overlapping matches, in order: array<struct<start, kind, end>>.
 
     The pieces between matches come from a split by the same pattern; their lengths and those of the matches add up to
     the positions. Texts without a match aren't split. With a value group, matches whose value is too short are dropped
-    after they have taken their place.
+    after they have taken their place; so are matches that lack one of the patterns `parts`.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     before = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    steps = F.zip_with(
-        found, before, lambda m, g: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"), F.lit(True).alias("fine"))
-    )
+
+    def step(m: Column, g: Column) -> Column:
+        fine = reduce(Column.__and__, [m.rlike(x) for x in parts], F.lit(True))
+        return F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"), fine.alias("fine"))
+
+    steps = F.zip_with(found, before, step)
     if value_group is not None:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
         steps = F.zip_with(
@@ -84,7 +89,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     body = common.text_of(F.col(text))
     found = df.withColumn(base, F.sort_array(F.concat(*_strong(body)))).withColumn(logins, spans(body, LOGIN, "login"))
     identified = F.exists(base, lambda s: s["kind"] == KINDS.index("access")) | (F.size(logins) > 0)
-    others = F.concat(F.col(logins), spans(body, KEY, "key"), spans(body, ENDPOINT, "endpoint"))
+    others = F.concat(F.col(logins), spans(body, KEY, "key", parts=KEY_PARTS), spans(body, ENDPOINT, "endpoint"))
     found = found.withColumn(weak, F.when(identified, others).otherwise(F.array().cast(f"array<{SPAN}>")))
     found = found.withColumn(content, F.when(F.size(weak) > 0, F.sha2(body, 256)))
     found = common.materialise(found.select(*keep, base, weak, content), "scanned")
