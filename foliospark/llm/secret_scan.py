@@ -12,15 +12,17 @@ parts co-occur within a scope, which is REACH code points around a part of the s
 * an endpoint with both an identifier and a secret.
 
 Linking is an interval join: intervals are widened by the reach and cut into bins, candidates meet parts by (text, bin) in
-left semi joins, so no pair is ever emitted and a text with many parts is spread over its bins. Texts are scanned once,
-natively; equal texts are linked once, whatever number of rows has them.
+left semi joins, so no pair is ever emitted and a text with many parts is spread over its bins. Equal texts are linked once,
+whatever number of rows has them. A text's matches are added up in chunks of the square root of their number: an array that
+grows by one element at a time is copied each time, which would be quadratic in the matches of a text.
 
-Edge cases: null text is empty and has no spans; positions are code points, ends exclusive; a weak span that overlaps a
+Edge cases: an empty table gives no rows; further columns are kept, and clashing names are left alone; null text is empty and has no spans; positions are code points, ends exclusive; a weak span that overlaps a
 strong one is not reported; repeated rows and null ids get the results of their text; texts are scanned whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,7 +65,6 @@ def spans(text: Column, pattern: str, kind: str, value_group: int | None = None,
             steps, values, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), (F.char_length(v) >= LEAST_VALUE).alias("fine"))
         )
     empty = F.array().cast(f"array<{SPAN}>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
     which = F.lit(KINDS.index(kind))
 
     def add(acc: Column, x: Column) -> Column:
@@ -72,7 +73,30 @@ def spans(text: Column, pattern: str, kind: str, value_group: int | None = None,
         span = F.struct(start.alias("start"), which.alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["fine"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, zero, add, lambda acc: acc["out"])).otherwise(empty)
+    def total(chunks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(chunks, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+        moved = F.zip_with(chunks, starts["out"], lambda x, by: F.transform(x["out"], lambda y: F.struct((y["start"] + by).alias("start"), y["kind"].alias("kind"), (y["end"] + by).alias("end"))))
+        return F.flatten(moved)
+
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    return F.when(text.rlike(pattern), named(in_chunks(steps, lambda chunk: F.aggregate(chunk, zero, add)), total)).otherwise(empty)
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def in_chunks(items: Column, use: Callable[[Column], Column]) -> Column:
+    """use(chunk) of the consecutive chunks of an array; there are as many as a chunk has items, about. No items: no chunk."""
+
+    def cut(a: Column) -> Column:
+        n = F.greatest(F.ceil(F.sqrt(F.size(a))), F.lit(1)).cast("int")
+        places = F.sequence(F.lit(0), F.ceil(F.size(a) / n).cast("int") - 1)
+        return F.when(F.size(a) > 0, F.transform(places, lambda i: use(F.slice(a, i * n + 1, n)))).otherwise(F.slice(F.transform(F.slice(a, 1, 1), lambda x: use(F.array(x))), 1, 0))
+
+    return named(items, cut)
 
 
 def _strong(body: Column) -> list[Column]:
@@ -109,9 +133,15 @@ def _bins(start: Column, end: Column) -> Column:
 def link(texts: DataFrame) -> DataFrame:
     """(c, added): the weak spans to report, of rows (c, base, weak); equal texts have equal c."""
     texts = texts.dropDuplicates(["c"])
-    strong = texts.select("c", F.explode("base").alias("s")).select("c", "s.*", F.lit(True).alias("sure"))
-    weak = texts.select("c", F.explode(F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))).alias("s"))
-    parts = common.materialise(strong.unionByName(weak.select("c", "s.*", F.lit(False).alias("sure"))), "parts")
+    every = texts.select("c", F.explode("base").alias("s"), F.lit(True).alias("sure")).unionByName(texts.select("c", F.explode("weak").alias("s"), F.lit(False).alias("sure")))
+    every = common.materialise(every.select("c", "s.*", "sure"), "parts")
+    strong = every.filter("sure")
+    taken = strong.select("c", F.col("start").alias("s2"), F.col("end").alias("e2"), _bins(F.col("start"), F.col("end")).alias("bin")).alias("y")
+    weak = every.filter("NOT sure").withColumn("bin", _bins(F.col("start"), F.col("end"))).alias("x")
+    apart = [F.col("x.c") == F.col("y.c"), F.col("x.bin") == F.col("y.bin"), F.col("start") < F.col("e2"), F.col("s2") < F.col("end")]
+    taken = weak.join(taken, reduce(Column.__and__, apart), "left_semi").select("c", "start", "kind", "end").distinct()
+    weak = every.filter("NOT sure").join(common.materialise(taken, "taken"), ["c", "start", "kind", "end"], "left_anti")
+    parts = common.materialise(strong.unionByName(weak), "parts")
 
     def of(*kinds: str) -> Column:
         return F.col("kind").isin([KINDS.index(k) for k in kinds])
@@ -141,18 +171,42 @@ def as_text(found: Column) -> Column:
 
 
 def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with each maximal run of overlapping spans replaced by the mark; spans are sorted by start."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with each maximal run of overlapping spans replaced by the mark; spans are sorted by start.
+
+    Each chunk of spans cuts its own piece of the text once and then works on that.
+    """
+
+    def cut(chunks: Column) -> Column:
+        """struct<at, spans> of each chunk: where the text before it has been used up."""
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def add(acc: Column, c: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], F.array_max(F.transform(c, lambda s: s["end"]))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        def parts(upto: Column) -> Column:
+            pieces = F.zip_with(chunks, upto["out"], lambda c, at: replaced(c, at))
+            rest = F.substring(text, upto["at"] + 1, F.greatest(F.char_length(text) - upto["at"], F.lit(0)))
+            return F.concat(F.array_join(pieces, ""), rest)
+
+        return named(F.aggregate(chunks, zero, add), parts)
+
+    def replaced(spans: Column, base: Column) -> Column:
+        zero = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+        size = F.greatest(F.array_max(F.transform(spans, lambda s: s["end"])) - base, F.lit(0))
+
+        def inside(piece: Column) -> Column:
+            def add(acc: Column, s: Column) -> Column:
+                gap = F.substring(piece, acc["at"] - base + 1, s["start"] - acc["at"])
+                return F.struct(
+                    F.greatest(acc["at"], s["end"]).alias("at"),
+                    F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
+                )
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        parts = F.concat(acc["out"], F.array(gap, F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], parts).otherwise(acc["out"]).alias("out"))
+            return F.array_join(F.aggregate(spans, zero, add)["out"], "")
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.greatest(F.char_length(text) - acc["at"], F.lit(0))))
+        return named(F.substring(text, base + 1, size), inside)
 
-    return F.when(F.size(found) > 0, F.aggregate(found, zero, add, finish)).otherwise(text)
+    return F.when(F.size(found) > 0, named(in_chunks(found, lambda c: c), cut)).otherwise(text)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from foliospark.llm import secret_scan as s
 
@@ -26,6 +28,33 @@ TEXTS = [
 ]
 
 
+def plain_weak(text):
+    found = [(m.start(), 4, m.end()) for m in re.finditer(s.LOGIN, text, re.ASCII)]
+    if not found and not any(k == 1 for _, k, _ in plain_base(text)):
+        return []
+    found += [(m.start(), 3, m.end()) for m in re.finditer(s.KEY, text, re.ASCII) if all(re.search(x, m[0]) for x in s.KEY_PARTS)]
+    return found + [(m.start(), 5, m.end()) for m in re.finditer(s.ENDPOINT, text, re.ASCII)]
+
+
+def plain_spans(text):
+    """All spans, by trying every pair of parts."""
+    base = plain_base(text)
+    weak = [w for w in plain_weak(text) if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    parts = base + weak
+
+    def beside(x, *kinds):
+        return any(y != x and y[1] in kinds and x[0] < y[2] + s.REACH and y[0] - s.REACH < x[2] for y in parts)
+
+    def shown(x):
+        if x[1] == 3:
+            return beside(x, 1, 4)
+        if x[1] == 4:
+            return beside(x, 0, 2, 3)
+        return beside(x, 1, 4) and beside(x, 0, 2, 3)
+
+    return sorted(base + [w for w in weak if shown(w)])
+
+
 def scanned(spark, tmp_path, texts, ids=None):
     rows = [(i if ids is None else ids[i], t, "x", "y") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, base string, spans string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
@@ -41,7 +70,6 @@ def test_base_equals_brute_force(spark, sf, tmp_path):
         assert [got[i][f"n_{k}"] for k in s.STRONG] == [sum(x[1] == k for x in base) for k in range(3)], t
         assert got[i].base_sha256 == hashlib.sha256(line(base).encode()).hexdigest()
         assert set(line(base).split(",")) <= set(got[i].spans.split(",")) | {""}
-        assert i >= len(TEXTS) or got[i].n_assign >= 0
 
 
 def test_weak_parts_need_their_complement(spark, tmp_path):
@@ -50,7 +78,7 @@ def test_weak_parts_need_their_complement(spark, tmp_path):
     def kinds(i):
         return [x.split(":")[0] for x in got[i].split(",") if x]
 
-    assert kinds(6) == ["access", "key", "endpoint"] or kinds(6) == ["access", "key"]
+    assert kinds(6) == ["access", "key", "endpoint"]
     a = TEXTS[6].index(KEY)
     assert f"key:{a}:{a + len(KEY)}" in got[6].split(",")
     assert kinds(7) == [] and kinds(8) == [] and kinds(10) == []
@@ -81,3 +109,26 @@ def test_redaction(spark):
             at = max(at, b)
         assert got[t] == want + t[at:]
     assert KEY not in got[TEXTS[6]] and ID not in got[TEXTS[6]]
+
+
+def test_links_equal_brute_force(spark, tmp_path):
+    """Over the texts of a table, and over dense mixtures of parts."""
+    rng = random.Random(5)
+    parts = [ID, KEY, "https://h.example.com/a", "user: bob", "password=hunter2hunter2", "f" * 32, "client_id=abc", "x" * 120, "y" * 250, "é🙂 ", "\nplain words\n"]
+    texts = TEXTS + [" ".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(300)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    got = {r.doc_id: r.spans for r in scanned(spark, tmp_path, texts).collect()}
+    assert sum("login" in x for x in got.values()) > 50 and sum("endpoint" in x for x in got.values()) > 50
+    for i, t in enumerate(texts):
+        assert got[i] == line(plain_spans(t or "")), t
+
+
+def test_many_spans_of_one_text(spark):
+    """Time in proportion to the text, near enough."""
+    text = "password=abcdefgh1 and more\n" * 40_000
+    begun = time.monotonic()
+    out = s.scan(spark.createDataFrame([(text,)], "text string"))
+    row = out.withColumn("clean", s.redact(out["text"], out["spans"])).first()
+    assert len(row.base) == 40_000 and row.clean == "[REDACTED] and more\n" * 40_000
+    assert [x.start for x in row.base] == list(range(0, 28 * 40_000, 28))
+    assert time.monotonic() - begun < 30  # 5 s here, with the start of the tasks
