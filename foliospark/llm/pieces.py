@@ -8,9 +8,12 @@ its share of the total weight. The number drawn at a node is a hash of (seed, ro
 on the row alone, not on partitions, batches or retries.
 
 No piece has white space after another character, so that every path passes the start of each word: the lattice of a text
-is a chain of word lattices, filtered once for each distinct word of a slice and sampled for each occurrence.
+is a chain of word lattices, filtered once for each distinct word of a slice and sampled for each occurrence. Filtering cuts
+words further at each vertex that no piece spans. What stays longer than LONG_WORD (text without spaces can) is filtered in
+blocks side by side: first each block's linear map from the sums before it, then the few sums at its start, then the block
+itself; and its pieces are drawn for all nodes at once, for the draw at a node depends on its position alone.
 
-Edge cases: a null or empty text has no pieces and decodes to the empty text; a null key is a key like any other; repeated
+Edge cases: an empty table gives no rows; a column of the output's name is kept, and the output gets underscores in front; a null or empty text has no pieces and decodes to the empty text; a null key is a key like any other; repeated
 rows get equal pieces; a literal U+2581 is written in byte pieces and so survives; bytes that are no UTF-8 do too. A text
 is handled whole; memory is bound by the slice (2 MB) or by one longer text.
 """
@@ -33,6 +36,8 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: A factor for each byte of a piece; it keeps sums near 1 and cancels out, for all paths of a word have the same bytes.
 PER_BYTE = float(np.exp(0.45))
 LATTICE_BYTES = 2 << 20  # text whose lattices are held at once
+LONG_WORD = 1024  # bytes from which a word is filtered in blocks
+RUN = 1 << 20  # bytes of a word whose blocks are filtered at once
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -156,17 +161,32 @@ class Lattices:
             start_of[put], piece_of[put] = starts, piece
         return first, start_of, piece_of
 
+    def _vertices(self, cuts: np.ndarray, first: np.ndarray, start_of: np.ndarray) -> np.ndarray:
+        """The cuts, and between them each position that no edge spans."""
+        end = np.repeat(np.arange(1, len(first)), np.diff(first))
+        inner = np.bincount(start_of + 1, minlength=len(first) + 1) - np.bincount(end, minlength=len(first) + 1)
+        lone = np.cumsum(inner)[: len(first)] == 0
+        lone[cuts] = True
+        return np.flatnonzero(lone)
+
     def _filter(self, cuts: np.ndarray, first: np.ndarray, start_of: np.ndarray, piece_of: np.ndarray) -> np.ndarray:
-        """Forward filtering of all words at once, position by position: each edge's cumulative share at its node."""
+        """Forward filtering of all words: each edge's cumulative share at its node."""
         weight = self.weight[piece_of]
-        share = np.empty(len(piece_of))
+        share = np.zeros(len(piece_of))
         total = np.ones(len(first) - 1)
+        cuts = self._vertices(cuts, first, start_of)
+        begin, lengths = cuts[:-1], np.diff(cuts)
+        long = lengths > LONG_WORD
+        order = np.argsort(-lengths[~long], kind="stable")
+        self._side_by_side(begin[~long][order], lengths[~long][order], first, start_of, weight, share, total)
+        for at, n in zip(begin[long].tolist(), lengths[long].tolist(), strict=True):
+            self._in_blocks(at, n, first, start_of, weight, share, total)
+        return share / np.repeat(total, np.diff(first))
+
+    def _side_by_side(self, begin, sizes, first, start_of, weight, share, total) -> None:
+        """Words, the longest first, position by position."""
         ahead = np.zeros(len(first))
-        ahead[cuts[:-1]] = 1.0
-        lengths = np.diff(cuts)
-        order = np.argsort(-lengths, kind="stable")
-        sizes = lengths[order]
-        begin = cuts[:-1][order]
+        ahead[begin] = 1.0
         for k in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -k, "right"))
             node = begin[:live] + k - 1
@@ -188,7 +208,73 @@ class Lattices:
             if len(wild):  # only starts within the longest piece matter later on
                 for back in range(min(self.longest, k + 1)):
                     ahead[node[wild] + 1 - back] /= got[wild]
-        return share / np.repeat(total, np.diff(first))
+
+    def _in_blocks(self, at: int, n: int, first, start_of, weight, share, total) -> None:
+        """One long word. The state before a block: the sums at its last `longest` positions, of any common scale."""
+        reach = self.longest
+        state = np.zeros(reach)
+        state[-1] = 1.0
+        for run in range(at, at + n, RUN):
+            size = min(RUN, at + n - run)
+            width = max(reach, int(size**0.5))
+            starts = run + np.arange(0, size, width)
+            maps = self._block_maps(starts[:-1], width, first, start_of, weight)
+            states = [state]
+            for m in maps:
+                state = state @ m
+                state = state / state.max()
+                states.append(state)
+            state = self._block_sums(starts, width, run + size, np.array(states), first, start_of, weight, share, total)
+
+    def _block_maps(self, starts, width: int, first, start_of, weight) -> np.ndarray:
+        """(blocks, reach, reach): what a block's last sums are, for each of the sums before it alone being 1."""
+        reach, m = self.longest, len(starts)
+        ring = np.zeros((reach, m, reach))  # the sums at position p are in row p % reach, p counted from the block's start
+        for i in range(reach):
+            ring[(i + 1) % reach, :, i] = 1.0  # of place i, which is position i + 1 - reach
+        for k in range(1, width + 1):
+            node = starts + k - 1
+            base, degree = first[node], first[node + 1] - first[node]
+            got = np.zeros((m, reach))
+            some = np.flatnonzero(degree)
+            j = 0
+            while len(some):
+                e = base[some] + j
+                got[some] += ring[(start_of[e] - starts[some]) % reach, some] * weight[e][:, None]
+                j += 1
+                some = some[degree[some] > j]
+            ring[k % reach] = got
+            if k % 32 == 0:
+                ring /= ring.max(axis=(0, 2), keepdims=True)
+        return ring[(width + 1 + np.arange(reach)) % reach].transpose(1, 2, 0)
+
+    def _block_sums(self, starts, width: int, stop: int, states, first, start_of, weight, share, total) -> np.ndarray:
+        """Fills in shares and totals of blocks with known states before them; the state after the last one."""
+        reach, m = self.longest, len(starts)
+        sums = np.zeros((m, reach + width))
+        sums[:, :reach] = states
+        for k in range(1, width + 1):
+            live = m if starts[-1] + k <= stop else m - 1
+            if not live:
+                break
+            node = starts[:live] + k - 1
+            base, degree = first[node], first[node + 1] - first[node]
+            got = np.zeros(live)
+            some = np.flatnonzero(degree)
+            j = 0
+            while len(some):
+                e = base[some] + j
+                got[some] += sums[some, reach - 1 + start_of[e] - starts[some]] * weight[e]
+                share[e] = got[some]
+                j += 1
+                some = some[degree[some] > j]
+            reached = degree > 0
+            total[node[reached]] = got[reached]
+            sums[:live, reach - 1 + k] = got
+            wild = np.flatnonzero(reached & ((got < 1e-150) | (got > 1e150)))
+            sums[wild, k : reach + k] /= got[wild, None]
+        last = reach - 1 + stop - starts[-1]
+        return sums[-1, last - reach + 1 : last + 1]
 
     # -- texts --------------------------------------------------------------------------------------------------------
 
@@ -220,17 +306,37 @@ class Lattices:
         origin = cuts[code]
         shift = starts - offsets[row] - origin + 1
         node = cuts[code + 1] - 1
-        live = np.arange(len(code))
         count = np.zeros(len(code), np.int64)
-        drawn: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(live):
-            u = (common.mix64(seed[live] + (node + shift[live]).astype(np.uint64) * GOLDEN) >> np.uint64(11)) * 2.0**-53
+
+        def pick(of: np.ndarray, node: np.ndarray) -> np.ndarray:
+            """The edges drawn at nodes of the occurrences `of`."""
+            u = (common.mix64(seed[of] + (node + shift[of]).astype(np.uint64) * GOLDEN) >> np.uint64(11)) * 2.0**-53
             edge, last = first[node], first[node + 1] - 1
             more = np.flatnonzero((edge < last) & (share[edge] <= u))
             while len(more):
                 edge[more] += 1
                 e = edge[more]
                 more = more[(e < last[more]) & (share[e] <= u[more])]
+            return edge
+
+        walked: list[tuple[int, list[int]]] = []
+        for i in np.flatnonzero(node - origin >= LONG_WORD).tolist():
+            nodes = np.arange(origin[i], node[i] + 1)
+            nodes = nodes[first[nodes + 1] > first[nodes]]
+            edge = np.zeros(node[i] + 1 - origin[i], np.int64)
+            edge[nodes - origin[i]] = pick(np.full(len(nodes), i), nodes)
+            before, piece = (start_of[edge] - origin[i]).tolist(), piece_of[edge].tolist()
+            at, out = len(edge), []
+            while at > 0:
+                out.append(piece[at - 1])
+                at = before[at - 1]
+            walked.append((i, out[::-1]))
+            count[i] = len(out)
+        live = np.flatnonzero(node - origin < LONG_WORD)
+        node = node[live]
+        drawn: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(live):
+            edge = pick(live, node)
             drawn.append((live, piece_of[edge]))
             count[live] += 1
             begin = start_of[edge]
@@ -240,6 +346,8 @@ class Lattices:
         ids = np.empty(place[-1], np.int32)
         for back, (which, piece) in enumerate(drawn):
             ids[place[which + 1] - 1 - back] = piece
+        for i, out in walked:
+            ids[place[i] : place[i + 1]] = out
         return ids, place[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +373,7 @@ def lattices(model: bytes, alpha: float) -> Lattices:
 def sample_encode(
     df: DataFrame, key: str = "doc_id", text: str = "text", model: str = DEFAULT_MODEL, alpha: float = 0.3, seed: int = 7
 ) -> DataFrame:
-    """All columns of `df`, and a struct column `pieces`: token_ids, n_tokens, decoded_sha256, lossless.
+    """All columns of `df`, and a struct column, `pieces` or with underscores in front: token_ids, n_tokens, decoded_sha256, lossless.
 
     The last two come from decoding the drawn ids again: lossless says that the bytes are the text's.
     """
@@ -298,11 +406,11 @@ def sample_encode(
             names=["token_ids", "n_tokens", "decoded_sha256", "lossless"],
         )
 
-    return df.withColumn("pieces", encode(common.text_of(F.col(text)), F.xxhash64(F.lit(seed), F.col(key))))
+    return df.withColumn(common.fresh(df, "pieces"), encode(common.text_of(F.col(text)), F.xxhash64(F.lit(seed), F.col(key))))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", model: str = DEFAULT_MODEL) -> DataFrame:
-    """All columns of `df`, and `decoded`: the text of an array of piece ids (null ids: null)."""
+    """All columns of `df`, and `decoded` (or with underscores in front): the text of an array of piece ids (null ids: null)."""
     proto = read_model(df.sparkSession, model)
 
     @F.arrow_udf("string")
@@ -314,7 +422,7 @@ def decode(df: DataFrame, ids: str = "token_ids", model: str = DEFAULT_MODEL) ->
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         return pa.array(texts, pa.string(), mask=np.asarray(arr.is_null()))
 
-    return df.withColumn("decoded", back(F.col(ids)))
+    return df.withColumn(common.fresh(df, "decoded"), back(F.col(ids)))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

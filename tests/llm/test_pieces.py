@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 
 import numpy as np
 import pytest
@@ -137,3 +138,38 @@ def test_slices_do_not_matter(limit):
     whole = MADE.sample(data, offsets, keys)[0]
     parts = [MADE.sample(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j])[0] for i, j in common.slices(offsets, limit)]
     assert np.array_equal(whole, np.concatenate(parts))
+
+
+def dense(n, seed):
+    """Text without spaces whose pieces overlap at most places."""
+    rng = np.random.default_rng(seed)
+    return "".join(rng.choice(["a", "t", "g", "c", "at", "the", "ing", "été", "梦"], n))
+
+
+@pytest.mark.parametrize(("long", "run"), [(8, 1 << 20), (30, 200), (8, 97)])
+def test_blocks_equal_the_plain_way(monkeypatch, long, run):
+    texts = [dense(n, n) for n in (9, 40, 300, 1500)] + ["ab1" * 400, "=" * 500, "x " + dense(90, 1) + " y"] + TEXTS
+    keys = list(range(len(texts)))
+    want, _ = sample(texts, keys)
+    monkeypatch.setattr(pieces, "LONG_WORD", long)
+    monkeypatch.setattr(pieces, "RUN", run)
+    got, (data, cuts) = sample(texts, keys)
+    assert got == want and [data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] == [t.encode() for t in texts]
+    assert got[:3] == [plain_sample(t, k) for t, k in zip(texts[:3], keys[:3])]
+
+
+def test_text_without_spaces_takes_time_in_proportion():
+    rng = np.random.default_rng(1)
+    chinese = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 350_000)))
+    for text in (chinese, dense(700_000, 2), "a" * 1_000_000):
+        begun = time.process_time()
+        _, (data, _) = sample([text], [5])
+        assert data.tobytes() == text.encode() and time.process_time() - begun < 20  # 2 to 5 s here
+
+
+def test_operator_keeps_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "a b", "kept", "too")], "doc_id long, text string, pieces string, decoded string")
+    out = pieces.sample_encode(df)
+    assert out.columns == [*df.columns, "_pieces"] and out.first().pieces == "kept"
+    back = pieces.decode(out.select("decoded", "_pieces.token_ids")).first()
+    assert (back.decoded, back._decoded) == ("too", "a b")
