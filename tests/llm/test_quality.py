@@ -68,3 +68,77 @@ def test_edges_and_held_out_labels_are_not_read(spark):
     assert out.count() == 303 and out.filter("q IS NULL").count() == 0 and "score" in out.columns
     none = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert not none.fitted
+
+
+def plain_features(text):
+    """The features of one text, character by character and word by word."""
+    raw = text.encode()
+    white = b" \t\n\x0b\x0c\r"
+    words, now = [], b""
+    for c in raw + b" ":
+        if c in white:
+            words += [now] if now else []
+            now = b""
+        else:
+            now += bytes([c])
+    upper, lower, digit = (sum(a <= c <= b for c in raw) for a, b in ((65, 90), (97, 122), (48, 57)))
+    high, breaks, blanks = sum(c > 127 for c in raw), raw.count(b"\n") + raw.count(b"\r"), raw.count(b" ") + raw.count(b"\t")
+    stop = b".,;:'\"?()-"
+    stops = sum(c in stop for c in raw)
+    control = sum((c < 32 and c not in b"\t\n\r") or c == 127 for c in raw)
+    symbols = len(raw) - upper - lower - digit - high - breaks - blanks - stops - control
+
+    def is_symbol(c):
+        return 32 < c < 127 and c not in stop and not chr(c).isalnum()
+
+    letters, solid, n = max(upper + lower + high, 1), max(len(raw) - blanks - breaks, 1), max(len(words), 1)
+    counts = {w: words.count(w) for w in words}
+    marked = [sum(is_symbol(c) for c in w) for w in words]
+    left = [len(w) - m - sum(c in stop for c in w) for w, m in zip(words, marked)]
+    return [
+        np.log1p(len(raw)), np.log1p(len(words)), upper / letters, digit / solid, stops / solid, symbols / solid, high / solid, breaks / n, control / solid,
+        sum(map(len, words)) / n, sum(len(w) > 12 for w in words) / n, sum(len(w) <= 3 for w in words) / n,
+        sum(sum(65 <= c <= 90 for c in w) >= 2 and not any(97 <= c <= 122 for c in w) for w in words) / n,
+        sum(m > 0 and s > 0 for m, s in zip(marked, left)) / n, sum(s == 0 for s in left) / n,
+        sum(a == b for a, b in zip(words, words[1:])) / n, len(counts) / n, max(counts.values(), default=0) / n, np.log1p(len(words) / (breaks + 1)),
+    ]
+
+
+def test_features_equal_brute_force(spark, sf):
+    texts = ["", " ", "a", "!! !!", "B B B b", "É\x7f\x01 #é WORD12 x#y\r\n--- \tABC", "a\x0bb a b a"]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect() if r.text and len(r.text) < 4000]
+    assert np.allclose(quality.text_features(*buffer(texts)), [plain_features(t) for t in texts], atol=1e-12)
+
+
+def test_one_boosting_round_by_hand(monkeypatch):
+    """One round over one feature of two values, of one pair: Newton steps of the weighted log loss."""
+    monkeypatch.setattr(quality, "ROUNDS", 1)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 0)
+    x = np.array([[0.0, 0.0]] * 60 + [[1.0, 0.0]] * 40)
+    y = np.array([1] * 50 + [0] * 10 + [1] * 5 + [0] * 35)
+    model = quality.fit(x, y, 3.0)
+    prior = 56 / 102
+    base = np.log(prior / (1 - prior))
+    want = []
+    for ones, zeros in ((50, 10), (5, 35)):
+        g = 3 * ones * (prior - 1) + zeros * prior
+        h = (3 * ones + zeros) * prior * (1 - prior)
+        want.append(base - quality.RATE * g / (h + quality.RIDGE))
+    assert np.allclose(model.raw(np.array([[0.0, 0.0], [1.0, 0.0]])), want)
+
+
+def test_rows_bound_rows(spark):
+    docs = spark.createDataFrame([(i % 8, f"text {i % 16}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    assert quality.training_rows(docs, labels, rows=5).count() == 5
+    usable = [i for i in range(8) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert quality.training_rows(docs, labels).count() == 2 * len(usable)
+
+
+def test_weight_comes_from_the_rows():
+    rng = np.random.default_rng(2)
+    x = rng.random((2000, 3))
+    y = (x[:, 0] + rng.normal(0, 0.3, 2000) > 0.4).astype(int)
+    w = quality.good_weight(x, y)
+    assert w in quality.GOOD_WEIGHTS and w == quality.good_weight(x[::-1], y[::-1])
+    assert quality.good_weight(x[:4], np.ones(4, int)) == quality.GOOD_WEIGHTS[0]
