@@ -12,11 +12,14 @@
    block pairs. A comparison emits no pairs but a spanning forest of them.
 5. Components are found by star contraction over written tables; the smallest id of each is its name.
 6. With `anchors`, the shingle sets of each such loose component are compared exactly, and only pairs of the asked-for
-   Jaccard similarity link. A component is cut into blocks by a hash; each is searched breadth first on its own and with the
-   first one. What these have not joined to the largest part is then compared with all blocks.
+   Jaccard similarity link. A set meets those that share one of its rarest shingles. A component is cut into blocks by a hash;
+   each is searched breadth first on its own and with the first one. What these have not joined to the largest part is then
+   compared with all blocks.
 
 Edge cases: null text is empty; a text without words has fingerprint zero and links like any other; a row with a null id is
-returned with its fingerprint and a null component, and links nothing; repeated rows share a component.
+returned with its fingerprint and a null component, and links nothing; repeated rows share a component; different texts
+under one id are different documents, each in the component of its text; an empty table gives no rows; further columns, of
+whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 PERMUTATIONS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Added to a shingle's hash before it is mixed into the hashes of further words.
 STEPS = np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-SET_ROWS, SET_SHINGLES = 256, 1 << 17  # rows, and shingles of them, of a block that is compared exactly
+SET_ROWS, SET_SHINGLES = 4096, 1 << 20  # rows, and shingles of them, of a block that is compared exactly
 FEW = 512  # hashes whose bits are summed as they are
 
 
@@ -409,35 +412,85 @@ def block_keys(fp: Column) -> Column:
 _SETS = "a long, b long, component long, block long, nodes binary, sizes binary, flat binary"
 
 
+class _Prefixes:
+    """Rows by the rarest codes of their sets: sets that are alike enough share one of these.
+
+    codes ascend within a set by their frequency; a set of n codes that shares a part t with another one at least has one
+    of its n - ceil(t * n) + 1 rarest codes among that one's.
+    """
+
+    def __init__(self, codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, similarity: float):
+        self.codes, self.first = codes, first
+        self.length = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, code) of all prefixes of the rows."""
+        n = self.length[rows]
+        at = np.arange(n.sum()) + np.repeat(self.first[rows] - (np.cumsum(n) - n), n)
+        return np.repeat(rows, n), self.codes[at]
+
+    def index(self, rows: np.ndarray) -> None:
+        owner, code = self.of(rows)
+        order = np.argsort(code, kind="stable")
+        self.owner, self.code = owner[order], code[order]
+
+    def meet(self, row: int) -> np.ndarray:
+        """Indexed rows that share a prefix code with the row."""
+        mine = self.codes[self.first[row] : self.first[row] + self.length[row]]
+        lo, hi = np.searchsorted(self.code, mine, "left"), np.searchsorted(self.code, mine, "right")
+        n = hi - lo
+        return np.unique(self.owner[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)])
+
+
 def similar(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, row that reached it): spanning links of sets, laid end to end, of that Jaccard similarity or more.
 
-    Breadth first: a row meets only those that nothing has reached yet, so a group of copies takes a step for each row.
+    Breadth first: a row meets only those that nothing has reached yet and that share one of its rarest codes. The index of
+    these is made anew whenever half of its rows have been reached, so that large groups of copies don't stay in the way.
     """
-    codes = np.unique(flat, return_inverse=True)[1]
+    codes, count = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    codes = rank[codes]
+    codes = codes[np.lexsort((codes, owner))]
     first = np.cumsum(sizes) - sizes
-    seen = np.zeros(codes.max(initial=-1) + 1, bool)
-    rest, reached, by = np.flatnonzero(sizes), [], []
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
+    prefixes = _Prefixes(codes, first, sizes, similarity)
+    seen = np.zeros(len(count), bool)
+    alive = sizes > 0
+    indexed = left = int(alive.sum())
+    prefixes.index(np.flatnonzero(alive))
+    reached, by = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in np.flatnonzero(alive).tolist():
+        if not alive[start]:
+            continue
+        alive[start] = False
+        left -= 1
+        queue = [start]
+        while queue and left:
+            if 2 * left < indexed:
+                prefixes.index(np.flatnonzero(alive))
+                indexed = left
             r = queue.pop()
-            small, large = np.minimum(sizes[rest], sizes[r]), np.maximum(sizes[rest], sizes[r])
-            close = np.flatnonzero(small / large >= similarity)
-            if not len(close):
+            met = prefixes.meet(r)
+            met = met[alive[met]]
+            n = sizes[met]
+            met = met[np.minimum(n, sizes[r]) / np.maximum(n, sizes[r]) >= similarity]
+            if not len(met):
                 continue
-            n = sizes[rest[close]]
-            start = np.cumsum(n) - n
-            seen[codes[first[r] : first[r] + sizes[r]]] = True
-            both = np.add.reduceat(seen[codes[np.repeat(first[rest[close]] - start, n) + np.arange(n.sum())]], start, dtype=np.int64)
-            seen[codes[first[r] : first[r] + sizes[r]]] = False
-            hit = close[both / (n + sizes[r] - both) >= similarity]
-            queue += rest[hit].tolist()
-            reached.append(rest[hit])
+            n = sizes[met]
+            begin = np.cumsum(n) - n
+            mine = codes[first[r] : first[r] + sizes[r]]
+            seen[mine] = True
+            both = np.add.reduceat(seen[codes[np.repeat(first[met] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
+            seen[mine] = False
+            hit = met[both / (n + sizes[r] - both) >= similarity]
+            alive[hit] = False
+            left -= len(hit)
+            queue += hit.tolist()
+            reached.append(hit)
             by.append(np.full(len(hit), r))
-            rest = np.delete(rest, hit)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *reached]), np.concatenate([none, *by])
+    return np.concatenate(reached), np.concatenate(by)
 
 
 def _set_batch(a, b, packed=()) -> pa.RecordBatch:
@@ -512,11 +565,11 @@ def _in_blocks(sets: DataFrame, similarity: float, several: bool = False) -> Dat
 def confirmed(docs: DataFrame, loose: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): links of that Jaccard similarity that span all such pairs inside loose components (node, component).
 
-    docs: (id, text); a node's text is that of the id.
+    docs: (node, text), repeated rows allowed.
     """
     loose = common.materialise(loose, "loose")
-    sets = docs.join(loose, F.col("id") == F.col("node")).select("component", "node", shingle_sets(F.col("text"), shingle).alias("set"))
-    sets = common.materialise(sets, "sets")
+    once = docs.join(loose, "node").dropDuplicates(["node"])
+    sets = common.materialise(once.select("component", "node", shingle_sets(F.col("text"), shingle).alias("set")), "sets")
     made = _in_blocks(sets, similarity)
     links = made.filter("a IS NOT NULL").select("a", "b")
     blocks = made.filter("nodes IS NOT NULL").drop("a", "b")
@@ -553,18 +606,22 @@ def near_duplicates(
     block: int = BLOCK,
     similarity: float = 0.8,
 ) -> DataFrame:
-    """(key, fp array<bigint>, component_id) of every row of `df`.
+    """(key, fp array<bigint>, component_id, tag, first_tag) of every row of `df`.
 
     `blocks` serves one word and a radius of 3 or less, and finds every link; `anchors` serves any radius, and links
-    only candidates whose shingle sets have that Jaccard similarity.
+    only candidates whose shingle sets have that Jaccard similarity. tag is the XXH64 of the row's text; (component_id,
+    first_tag) are the least id and, of that id's texts in the component, the least tag: the name of the component. Rows
+    that share an id but not the text are different documents.
     """
     if candidates == "blocks" and (words > 1 or radius > 3):
         raise ValueError("block keys serve 64 bits and a radius of 3 at most")
     anchors = candidates == "anchors"
     common.bound_batches(df.sparkSession)
-    rows = df.select(F.col(key).cast("long").alias("id"), fingerprints(F.col(text), shingle, words, anchors).alias("s"))
-    rows = common.materialise(rows.select("id", "s.fp", "s.anchors"), "simhash")
-    classes = rows.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node"), F.min("anchors").alias("anchors"))
+    tagged = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(common.text_of(F.col(text))).alias("tag"), F.col(text).alias("text"))
+    rows = tagged.select("id", "tag", fingerprints(F.col("text"), shingle, words, anchors).alias("s"))
+    rows = common.materialise(rows.select("id", "tag", "s.fp", "s.anchors"), "simhash")
+    classes = rows.filter("id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "tag")).alias("first"), F.min("anchors").alias("anchors"))
+    classes = common.materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     if anchors:
         keyed = classes.select("fp", "node", F.posexplode("anchors").alias("t", "h")).select(F.xxhash64("t", "h").alias("key"), "node", "fp")
     else:
@@ -579,10 +636,17 @@ def near_duplicates(
     links = compared.filter("a IS NOT NULL").select("a", "b").unionByName(crossed.select("a", "b"))
     found = components(links)
     if anchors:
-        found = components(confirmed(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), found, shingle, similarity))
-    named = classes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+        firsts = found.join(classes.select("node", "first.*"), "node")
+        texts = tagged.join(firsts.select("node", "id", "tag"), ["id", "tag"]).select("node", "text")
+        found = components(confirmed(texts, found, shingle, similarity))
+    placed = classes.join(found, "node", "left").select("fp", "first", F.coalesce("component", "node").alias("component"))
+    least = common.materialise(placed.groupBy("component").agg(F.min("first").alias("least")), "least")
+    named = placed.join(least, "component").select("fp", "least")
     out = rows.join(named, "fp", "left")
-    return out.select(F.col("id").alias(key), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    known = F.col("id").isNotNull()
+    return out.select(
+        F.col("id").alias(key), "fp", F.when(known, F.col("least.id")).alias("component_id"), "tag", F.when(known, F.col("least.tag")).alias("first_tag")
+    )
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_stages(spark):
     assert not [(a, b) for a in left for b in left if a < b and abs(len(after[a]) - len(after[b])) < 0.2 * len(after[a]) and after[a][:20] == after[b][:20] and jaccard(after[a], after[b]) > 0.9]
     for i, c in found.items():  # each one that goes has a kin that is close
         if c != i:
-            assert max(jaccard(before[i], before[j]) for j in found if found[j] == c and j != i) > 0.6
+            assert max(jaccard(before[i], before[j]) for j in found if found[j] == c and j != i) >= 0.8
 
     clean = common.materialise(p.redact_secrets(spark, single, sf), "s")
     rows = {r.doc_id: r for r in clean.collect()}
@@ -60,7 +60,7 @@ def test_edges(spark, tmp_path):
         docs = common.materialise(stage(spark, docs, str(tmp_path)), name)
         assert docs.columns == df.columns
         if name == "secrets":
-            assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, None), (1, "a b c"), (2, ""), (3, "[REDACTED]")] or docs.count() == 4
+            assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, None), (1, "a b c"), (2, ""), (3, "[REDACTED]")]
     p.encode(spark, docs, str(tmp_path)).collect()
     for _, stage in p.STAGES:
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
