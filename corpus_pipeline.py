@@ -23,17 +23,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of texts that share 0.8 of their five-word shingles.
+    """One document of each group of texts that share 0.8 of their five-word shingles: that with the smallest id.
 
-    4096 bits tell such texts from those that share 0.7 far better than 64 would. Rows with a null id stay.
+    SimHash of 4096 bits finds the candidates, exact similarity links them. Null text is empty; a text of fewer than five words
+    is one shingle; texts without words are copies of each other. Rows with a null id stay. Of different texts under one
+    id, each is a document: of two such in one group that with the smaller XXH64 stays. Of rows equal in id and text one stays.
+    An empty table gives an empty one; further columns are kept as they are, whatever their names.
     """
     found = simhash.near_duplicates(
-        docs, shingle=SHINGLE, words=WORDS, radius=simhash.radius_for(SIMILARITY, 64 * WORDS), candidates="anchors", block=BLOCK
+        docs, shingle=SHINGLE, words=WORDS, radius=simhash.radius_for(SIMILARITY, 64 * WORDS), candidates="anchors", block=BLOCK, similarity=SIMILARITY
     )
-    first = common.fresh(docs, "first_id")
-    kept = common.materialise(found.filter("doc_id = component_id").select(F.col("doc_id").alias(first)).distinct(), "kept")
-    named = docs.join(kept, F.col("doc_id") == F.col(first)).drop(first).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    first, mark, tag = (common.fresh(docs, x) for x in ("first_id", "first_tag", "tag"))
+    kept = found.filter("doc_id = component_id AND tag = first_tag").select(F.col("doc_id").alias(first), F.col("tag").alias(mark)).distinct()
+    kept = common.materialise(kept, "kept")
+    tagged = docs.withColumn(tag, F.xxhash64(common.text_of(F.col("text"))))
+    named = tagged.join(kept, (F.col("doc_id") == F.col(first)) & (F.col(tag) == F.col(mark))).dropDuplicates(["doc_id", tag])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
