@@ -70,6 +70,11 @@ def text_of(col):
     return F.coalesce(col, F.lit(""))
 
 
+def named(value, use):
+    """use(value) as a column, with the value made once for a row however often `use` reads it, within lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, n+1 offsets into them) of a string or binary array; nulls are empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -80,12 +80,7 @@ def spans(text: Column, pattern: str, kind: str, value_group: int | None = None,
         return F.flatten(moved)
 
     zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(text.rlike(pattern), named(in_chunks(steps, lambda chunk: F.aggregate(chunk, zero, add)), total)).otherwise(empty)
-
-
-def named(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value made once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+    return F.when(text.rlike(pattern), common.named(in_chunks(steps, lambda chunk: F.aggregate(chunk, zero, add)), total)).otherwise(empty)
 
 
 def in_chunks(items: Column, use: Callable[[Column], Column]) -> Column:
@@ -96,7 +91,7 @@ def in_chunks(items: Column, use: Callable[[Column], Column]) -> Column:
         places = F.sequence(F.lit(0), F.ceil(F.size(a) / n).cast("int") - 1)
         return F.when(F.size(a) > 0, F.transform(places, lambda i: use(F.slice(a, i * n + 1, n)))).otherwise(F.slice(F.transform(F.slice(a, 1, 1), lambda x: use(F.array(x))), 1, 0))
 
-    return named(items, cut)
+    return common.named(items, cut)
 
 
 def _strong(body: Column) -> list[Column]:
@@ -188,7 +183,7 @@ def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
             rest = F.substring(text, upto["at"] + 1, F.greatest(F.char_length(text) - upto["at"], F.lit(0)))
             return F.concat(F.array_join(pieces, ""), rest)
 
-        return named(F.aggregate(chunks, zero, add), parts)
+        return common.named(F.aggregate(chunks, zero, add), parts)
 
     def replaced(spans: Column, base: Column) -> Column:
         zero = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
@@ -204,9 +199,9 @@ def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
 
             return F.array_join(F.aggregate(spans, zero, add)["out"], "")
 
-        return named(F.substring(text, base + 1, size), inside)
+        return common.named(F.substring(text, base + 1, size), inside)
 
-    return F.when(F.size(found) > 0, named(in_chunks(found, lambda c: c), cut)).otherwise(text)
+    return F.when(F.size(found) > 0, common.named(in_chunks(found, lambda c: c), cut)).otherwise(text)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

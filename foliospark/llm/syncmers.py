@@ -3,12 +3,16 @@
 A text's words are hashed. An inner string is INNER words, a k-mer is KMER words; a k-mer is chosen (a closed syncmer) if the
 least hash of its inner strings stands at its first or last place. The choice depends on the k-mer's own words alone, so an
 edit changes no anchor whose words it leaves, and shared passages keep their anchors at shifted positions. The fingerprint
-is the SKETCH least distinct hashes of the chosen k-mers, 8 hex digits each; two fingerprints' likeness is the share of
-the SKETCH least hashes of their union that both have, an estimate of the Jaccard similarity of the chosen k-mers.
+is all of them in order: of each the step from the one before in words (a digit, for no two are further apart than
+KMER - INNER words) and 32 bits of its hash, 8 hex digits.
+
+Two fingerprints are matched by position: each hash that both have pairs its first places in either, and a pair counts if it
+stands in the same order as the pair before or after it (a lone pair counts). The likeness is the number of counted pairs
+over the distinct hashes of either that remain: Jaccard similarity of the anchors that both have in the same order.
 
 Only DataFrame expressions are used; a text is one row throughout and is never exploded.
 
-Edge cases: null text is empty; a text without words has the empty fingerprint, which is like (1.0) another empty one and
+Edge cases: an empty table gives no rows, and further columns are not read; null text is empty; a text without words has the empty fingerprint, which is like (1.0) another empty one and
 unlike (0.0) any other; a text of fewer than KMER words, or (rarely) without a closed syncmer, has its whole word sequence
 as its one k-mer. When the next document is sought, equal rows are one document and each gets its result; different texts of
 one doc_id go by their hash; a null doc_id is lowest; a single document is its own next one.
@@ -23,7 +27,7 @@ from foliospark.llm import common
 
 KMER = 5
 INNER = 2
-SKETCH = 128
+LOW, PLACE, SIDE = 0xFFFFFFFF, 0x7FFFFFFF, 0x80000000
 
 
 def word_hashes(text: Column) -> Column:
@@ -49,9 +53,13 @@ def places(hashes: Column, inner: Column) -> Column:
 
 
 def anchors(hashes: Column, first: Column) -> Column:
-    """array<struct<pos, hash>>: the closed syncmers by the place of their first word, or the whole sequence at 0."""
-    chosen = F.transform(first, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(hashes, i + j) for j in range(KMER)]).alias("hash")))
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(hashes).alias("hash")))
+    """array<bigint>: the closed syncmers in order, each the place of its first word and 32 bits of its hash; or the whole sequence at 0."""
+
+    def packed(at: Column, h: Column) -> Column:
+        return F.shiftleft(at.cast("long"), 32).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
+
+    chosen = F.transform(first, lambda i: packed(i, F.xxhash64(*[F.get(hashes, i + j) for j in range(KMER)])))
+    whole = F.array(packed(F.lit(0), F.xxhash64(hashes)))
     return (
         F.when(F.size(hashes) == 0, F.slice(whole, 1, 0))
         .when((F.size(hashes) < KMER) | (F.size(first) == 0), whole)
@@ -71,20 +79,60 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     return made.withColumn(out, anchors(F.col(h), F.col(p))).drop(h, s, p)
 
 
-def sketch(found: Column) -> Column:
-    """The SKETCH least distinct 32-bit hashes of anchors, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: F.shiftright(a["hash"], 32).cast("int")))), 1, SKETCH)
+def place(anchor: Column) -> Column:
+    return F.shiftrightunsigned(anchor, 32)
+
 
+def as_text(found: Column) -> Column:
+    """Nine hex digits for each anchor."""
 
-def text_of_sketch(least: Column) -> Column:
-    return F.array_join(F.transform(least, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    def digits(a: Column, i: Column) -> Column:
+        step = place(a) - F.coalesce(place(F.get(found, i - 1)), F.lit(0).cast("long"))
+        return F.concat(F.lower(F.hex(step)), F.lpad(F.lower(F.hex(a.bitwiseAND(F.lit(LOW)))), 8, "0"))
+
+    return F.array_join(F.transform(found, digits), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two sketches: the share of the least hashes of their union that both have."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both.cast("double") / F.size(union))
+    """Of two arrays of anchors."""
+
+    def pairs(ordered: Column) -> Column:
+        """The first places of each shared hash, of `a` in the high half; in `ordered` they are neighbours."""
+        last = F.size(ordered) - 1
+
+        def at(i: Column) -> Column:
+            return F.get(ordered, i)
+
+        def meet(i: Column) -> Column:
+            same = F.shiftright(at(i), 32) == F.shiftright(at(i + 1), 32)
+            return same & (at(i).bitwiseAND(F.lit(SIDE)) == 0) & (at(i + 1).bitwiseAND(F.lit(SIDE)) != 0)
+
+        found = F.filter(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), meet)
+        return F.sort_array(
+            F.transform(found, lambda i: F.shiftleft(F.lit(PLACE) - at(i).bitwiseAND(F.lit(PLACE)), 32).bitwiseOR(at(i + 1).bitwiseAND(F.lit(PLACE))))
+        )
+
+    def counted(paired: Column) -> Column:
+        """How many pairs are in the order of a neighbour."""
+
+        def low(i: Column) -> Column:
+            return F.get(paired, i).bitwiseAND(F.lit(LOW))
+
+        def fine(x: Column, i: Column) -> Column:
+            mine = x.bitwiseAND(F.lit(LOW))
+            return F.coalesce(low(i - 1) < mine, F.lit(False)) | F.coalesce(mine < low(i + 1), F.lit(False))
+
+        return F.when(F.size(paired) == 1, F.lit(1)).otherwise(F.size(F.filter(paired, fine)))
+
+    def key(x: Column) -> Column:
+        return F.shiftleft(x, 32)
+
+    left = F.transform(a, lambda x: key(x).bitwiseOR(F.lit(PLACE) - place(x)))  # later places first, so that the first one is last
+    right = F.transform(b, lambda x: key(x).bitwiseOR(F.lit(SIDE)).bitwiseOR(place(x)))
+    both = common.named(common.named(F.sort_array(F.concat(left, right)), pairs), counted)
+    distinct = [F.size(F.array_distinct(F.transform(x, lambda y: y.bitwiseAND(F.lit(LOW))))) for x in (a, b)]
+    same = F.when(F.size(a) + F.size(b) == 0, F.lit(1.0))
+    return same.otherwise(common.named(both, lambda n: n.cast("double") / (distinct[0] + distinct[1] - n)))
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -113,27 +161,22 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", common.text_of(F.col("text")).alias("text"))
     docs = docs.withColumn("tag", F.xxhash64("text"))
     pairs = common.materialise(next_documents(docs.select("doc_id", "tag", F.floor(F.char_length("text") / 3).cast("int").alias("cut"))), "next")
-    marked = with_anchors(docs, "text", "found").select("doc_id", "tag", "text", sketch(F.col("found")).alias("least"))
-    # Both joins read the same exchange of (doc_id, tag, text, least).
-    donors = marked.alias("d").join(pairs.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.next_id")) & (F.col("d.tag") == F.col("p.next_tag")))
-    donors = donors.select(
-        F.col("p.doc_id").alias("to_id"),
-        F.col("p.tag").alias("to_tag"),
-        F.expr("cut").alias("cut"),
-        F.expr("substring(text, 1, cut)").alias("prefix"),
-        F.col("least").alias("next_least"),
-    ).dropDuplicates(["to_id", "to_tag"])
-    both = marked.join(donors, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("tag") == F.col("to_tag")))
+    # Both joins read the same exchange of (doc_id, tag, text); a donor's anchors are made once for its receiver.
+    donors = docs.alias("d").join(pairs.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.next_id")) & (F.col("d.tag") == F.col("p.next_tag")))
+    donors = donors.select(F.col("p.doc_id").alias("to_id"), F.col("p.tag").alias("to_tag"), F.expr("cut"), "text")
+    donors = with_anchors(donors, "text", "next_found")
+    donors = donors.select("to_id", "to_tag", "cut", F.expr("substring(text, 1, cut)").alias("prefix"), "next_found").dropDuplicates(["to_id", "to_tag"])
+    both = docs.join(donors, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("tag") == F.col("to_tag")))
     both = both.withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - cut), prefix)"))
-    both = both.select("doc_id", "n_chars", "least", "next_least", F.sha2("edited", 256).alias("edited_sha256"), "edited")
-    both = with_anchors(both, "edited", "found").withColumn("edited_least", sketch(F.col("found")))
+    both = both.select("doc_id", "n_chars", "text", "next_found", F.sha2("edited", 256).alias("edited_sha256"), "edited")
+    both = with_anchors(with_anchors(both, "text", "found"), "edited", "edited_found")
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        text_of_sketch(F.col("least")).alias("fingerprint"),
-        text_of_sketch(F.col("edited_least")).alias("edited_fingerprint"),
-        likeness(F.col("least"), F.col("edited_least")).alias("near_edited"),
-        likeness(F.col("least"), F.col("next_least")).alias("near_next"),
+        as_text(F.col("found")).alias("fingerprint"),
+        as_text(F.col("edited_found")).alias("edited_fingerprint"),
+        likeness(F.col("found"), F.col("edited_found")).alias("near_edited"),
+        likeness(F.col("found"), F.col("next_found")).alias("near_next"),
     )

@@ -32,17 +32,26 @@ def plain_anchors(text):
     return found or [(0, chain(h))]
 
 
-def plain_sketch(text):
-    return sorted({x >> 32 for _, x in plain_anchors(text)})[:128]
+def plain_like(a, b):
+    """Shared hashes by their first places; a pair counts beside a neighbour in the same order, or alone."""
 
+    def places(found):
+        out = {}
+        for p, h in found:
+            out.setdefault(h % 2**32, p)
+        return out
 
-def plain_like(a, b):
-    union = sorted(set(a) | set(b))[:128]
-    return 1.0 if not union else len([x for x in union if x in a and x in b]) / len(union)
+    a, b = places(a), places(b)
+    pairs = sorted((a[h], b[h]) for h in a if h in b)
+    near = [(k > 0 and pairs[k - 1][1] < y) or (k + 1 < len(pairs) and y < pairs[k + 1][1]) for k, (_, y) in enumerate(pairs)]
+    n = 1 if len(pairs) == 1 else sum(near)
+    return n / (len(a) + len(b) - n) if a or b else 1.0
 
 
-def as_text(s):
-    return "".join(f"{x % 2**32:08x}" for x in s)
+def as_text(found):
+    steps = [p - q for (p, _), (q, _) in zip(found, [(0, 0), *found])]
+    assert all(0 <= s <= syncmers.KMER - syncmers.INNER for s in steps)
+    return "".join(f"{s:x}{h % 2**32:08x}" for s, (_, h) in zip(steps, found))
 
 
 def plain(rows):
@@ -53,7 +62,7 @@ def plain(rows):
         t, following = t or "", order[(k + 1) % len(order)][1] or ""
         cut = len(t) // 3
         edited = t[: len(t) - cut] + following[:cut]
-        s, e, n = plain_sketch(t), plain_sketch(edited), plain_sketch(following)
+        s, e, n = plain_anchors(t), plain_anchors(edited), plain_anchors(following)
         out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(s), as_text(e), plain_like(s, e), plain_like(s, n))
     return out
 
@@ -83,5 +92,37 @@ def test_repeated_null_and_single_rows(spark, tmp_path):
 def test_anchors_move_with_a_passage(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     df = spark.createDataFrame([(passage,), ("some other words first " + passage,)], "text string")
-    a, b = (dict((x.hash, x.pos) for x in r.found) for r in syncmers.with_anchors(df, "text", "found").select("found").collect())
+    a, b = ({x & syncmers.LOW: x >> 32 for x in r.found} for r in syncmers.with_anchors(df, "text", "found").select("found").collect())
     assert len(a) > 15 and all(b[h] == p + 4 for h, p in a.items())
+
+
+def test_matching_is_by_position(spark):
+    """A passage that moved, words put in, words in another order, and words that share nothing."""
+    w = [f"w{i}" for i in range(400)]
+    texts = {
+        "same": w,
+        "put in": w[:200] + ["new", "words"] + w[200:],
+        "moved": ["other"] * 7 + w,
+        "halves": w[200:] + w[:200],
+        "blocks": [x for k in range(0, 400, 8) for x in w[392 - k : 400 - k]],
+        "none": [f"x{i}" for i in range(400)],
+    }
+    df = spark.createDataFrame([(k, " ".join(w), " ".join(t)) for k, t in texts.items()], "k string, a string, b string")
+    df = syncmers.with_anchors(syncmers.with_anchors(df, "a", "fa"), "b", "fb")
+    got = {r.k: r.like for r in df.withColumn("like", syncmers.likeness(df["fa"], df["fb"])).collect()}
+    assert got["same"] == 1 and got["none"] == 0
+    assert got["put in"] > 0.95 and got["moved"] > 0.95 and got["halves"] > 0.9
+    shared = {r.k: len({x & syncmers.LOW for x in r.fa} & {x & syncmers.LOW for x in r.fb}) for r in df.collect()}
+    for k, t in texts.items():
+        assert got[k] == plain_like(plain_anchors(" ".join(w)), plain_anchors(" ".join(t)))
+    assert shared["blocks"] > 50
+
+
+def test_long_texts_keep_all_their_anchors(spark):
+    """A passage of 100 words in texts of 10,000 is found by its anchors."""
+    a, b = ([f"{c}{i}" for i in range(10_000)] for c in "ab")
+    b[5000:5100] = a[100:200]
+    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string")
+    df = syncmers.with_anchors(syncmers.with_anchors(df, "a", "fa"), "b", "fb")
+    row = df.withColumn("like", syncmers.likeness(df["fa"], df["fb"])).first()
+    assert len(row.fa) > 4500 and 0.003 < row.like < 0.007
