@@ -2,8 +2,10 @@
 
 Rows are ordered by (hash of the text, id) with a range partitioning, each partition sums its sizes, the few partition
 totals are summed up in turn, and so every row knows how many bytes come before it in the whole table. A row's shard is the
-one of the equal targets in which it starts. Equal texts stand together; a group of them no larger than the largest single
-row, which is the grain of the cut anyway, starts as one and is not parted. Larger groups are cut like any other rows.
+one of the equal targets in which it starts. Equal texts stand together, and one rule holds for all of them: rows that
+start in the same grain of bytes, counted from the start of their group, start where the grain does. The grain is the
+largest single row, by which no cut can be finer anyway; so a group within it is not parted, and a larger one is parted
+between grains.
 
 Only narrow rows (id, size, hashes) are moved. No task sees more than one partition's rows, whatever group fills them.
 
@@ -51,10 +53,11 @@ def shard_by_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", shard
         "id", "size", "crc", "h", (F.col("bytes_before") + F.col("upto") - F.col("size")).alias("start"), (F.col("rows_before") + F.col("at")).alias("place")
     )
     placed = common.materialise(placed, "places")
-    groups = placed.groupBy("h").agg(F.min("start").alias("group_start"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    groups = common.materialise(groups.filter((F.col("n") > 1) & (F.col("bytes") <= most)).select("h", "group_start"), "groups")
+    groups = placed.groupBy("h").agg(F.min("start").alias("group_start"), F.count("*").alias("n"))
+    groups = common.materialise(groups.filter("n > 1").select("h", "group_start"), "groups")
     # bytes * shards stays exact: decimals hold what a long may not
-    cut = F.floor(F.coalesce("group_start", "start").cast("decimal(38,0)") * shards / F.lit(total).cast("decimal(38,0)"))
+    grain = F.expr(f"group_start + ((start - group_start) DIV {max(most, 1)}) * {most}L")
+    cut = F.floor(F.coalesce(grain, "start").cast("decimal(38,0)") * shards / F.lit(total).cast("decimal(38,0)"))
     dealt = placed.join(groups, "h", "left").select("id", "size", "crc", "place", F.least(cut.cast("int"), F.lit(shards - 1)).alias("shard"))
     first = dealt.groupBy("shard").agg(F.min("place").alias("first"))  # at most `shards` rows
     return dealt.join(F.broadcast(first), "shard").select(

@@ -46,3 +46,14 @@ def test_query(spark, sf):
     assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     check(rows, out.collect())
+
+
+def test_groups_on_both_sides_of_the_grain(spark):
+    """Copies within the largest row's size stay together; of more copies each grain does."""
+    rows = [(i, "L" * 992) for i in range(1)] + [(10 + i, "s" * 92) for i in range(10)] + [(100 + i, "m" * 92) for i in range(55)] + [(1000 + i, f"{i:092d}") for i in range(200)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    check(rows, got)
+    homes = {c: [r.shard for r in got if r.text_crc32 == zlib.crc32((c * 92).encode())] for c in "sm"}
+    assert len(set(homes["s"])) == 1 and len(homes["s"]) == 10
+    counts = sorted(homes["m"].count(k) for k in set(homes["m"]))
+    assert len(counts) > 1 and all(n % 10 == 0 for n in counts[1:]) and sum(counts) == 55
