@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.profiles import RemovalOptions
 
 PASSES = 4
+FRONTS = 24
 
 
 def digest(entries: Column, payload: Column, skip: tuple[str, ...] = ("/Length",)) -> Column:
@@ -48,20 +51,21 @@ def merge_equal(streams: DataFrame, refs: DataFrame, checkpoint=lambda df: df) -
     return names
 
 
-def reachable(edges: DataFrame, roots: DataFrame, checkpoint=lambda df: df, rounds: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, checkpoint=lambda df: df) -> DataFrame:
     """The nodes (path, num) that the roots lead to over edges (path, src, dst), themselves included; breadth first.
 
-    Each round joins only the nodes found last; `checkpoint` cuts its lineage.
+    Each round joins only the nodes found last, until there are none; `checkpoint` cuts its lineage. What was found before
+    stays as the rounds wrote it, and is written anew as one table every FRONTS rounds.
     """
-    found = checkpoint(roots.select("path", "num").distinct())
-    front = found
-    for _ in range(rounds):
+    front = checkpoint(roots.select("path", "num").distinct())
+    fronts = [front]
+    while front.limit(1).count():
         step = edges.join(front.withColumnRenamed("num", "src"), ["path", "src"]).select("path", F.col("dst").alias("num")).distinct()
-        front = checkpoint(step.join(found, ["path", "num"], "left_anti"))
-        if not front.limit(1).count():
-            break
-        found = checkpoint(found.unionByName(front))
-    return found
+        front = checkpoint(step.join(reduce(DataFrame.unionByName, fronts), ["path", "num"], "left_anti"))
+        fronts.append(front)
+        if len(fronts) > FRONTS:
+            fronts = [checkpoint(reduce(DataFrame.unionByName, fronts))]
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def pruned_keys(removal: RemovalOptions, where: str) -> list[str]:

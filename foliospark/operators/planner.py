@@ -45,7 +45,8 @@ def plan_images(placements: DataFrame, key: list[str], profile: Profile | None =
     }
     seen = seen.select("*", *[c.alias(n) for n, c in parts.items()])
     along, up = F.hypot(m["a"], m["b"]), F.hypot(m["c"], m["d"])
-    size = F.struct("px_w", "px_h")
+    # One long for both sides, which hash aggregation can hold; a struct would sort all placements.
+    size = F.shiftleft(F.col("px_w").cast("long"), 32).bitwiseOR(F.col("px_h").cast("long"))
     first = F.min_by(size, F.struct(*order)) if order else F.min(size)
     images = seen.groupBy(*key).agg(
         first.alias("px"),
@@ -57,7 +58,7 @@ def plan_images(placements: DataFrame, key: list[str], profile: Profile | None =
         F.min(F.when(along > 0, along)).alias("along"),  # the smallest use has the highest resolution
         F.min(F.when(up > 0, up)).alias("up"),
     )
-    images = images.withColumn("px_w", F.col("px.px_w")).withColumn("px_h", F.col("px.px_h"))
+    images = images.withColumn("px_w", F.shiftright("px", 32).cast("int")).withColumn("px_h", F.col("px").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     cut = F.lit(profile.crop_to_visible) & ~F.col("turned") & F.col("u0").isNotNull()
     for n, edge in (("u0", F.greatest), ("v0", F.greatest), ("u1", F.least), ("v1", F.least)):
         images = images.withColumn(n, F.when(cut, edge(F.lit(0.0 if n[1] == "0" else 1.0), F.col(n))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as g
 from foliospark.functions import metrics
-from foliospark.operators import encode_once, graph, report
+from foliospark.operators import encode_once, fidelity, graph, report
 from foliospark.operators.planner import plan_images
 from foliospark.profiles import MinimalFileSize, RemovalOptions
 from foliospark.tables import table, written
@@ -232,6 +232,33 @@ p AS (SELECT *, CASE WHEN error = 0 THEN 99.0::DOUBLE ELSE round_even(10.0::DOUB
 SELECT vec_id, error, psnr, round_even(detail, 6) AS detail, round_even(floor_db, 6) AS floor_db, psnr >= floor_db AS clears FROM p
 """
 
+
+
+def page_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures as grey pages of a deck per label: means of two poorer copies' decibels, each over the pages that it has."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("deck")).join(pictures(spark, sf_dir), "vec_id").withColumnRenamed("vec_id", "page")
+
+    def raster(step: int):
+        codes = F.transform(F.flatten(F.transform("v", lambda x: F.array_repeat(F.floor(x / step) * step, 3))), lambda x: F.lpad(F.hex(x), 2, "0"))
+        return F.struct(F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(codes, "")).alias("data")).alias("raster")
+
+    theirs = rows.filter("page % 3 > 0").select("deck", "page", raster(32))
+    ours = rows.filter("page % 5 > 0").select("deck", "page", raster(16))
+    found = fidelity.compared_pages(rows.select("deck", "page", raster(1)), theirs, ours, ["deck"])
+    return found.select("deck", F.bround("their_psnr", 6).alias("their_psnr"), F.bround("our_psnr", 6).alias("our_psnr"))
+
+
+FIDELITY_SQL = f"""
+WITH {PICTURES_SQL},
+e AS (
+  SELECT label AS deck, p.vec_id AS page, list_sum(list_transform(v, lambda x: (x % 32) * (x % 32)))::BIGINT AS a, list_sum(list_transform(v, lambda x: (x % 16) * (x % 16)))::BIGINT AS b
+  FROM pictures p JOIN embeddings e ON p.vec_id = e.vec_id)
+SELECT deck,
+  round_even(avg(CASE WHEN a = 0 THEN 99.0::DOUBLE ELSE 10.0::DOUBLE * log10(65025.0::DOUBLE / (a / 64.0::DOUBLE)) END) FILTER (page % 3 > 0), 6) AS their_psnr,
+  round_even(avg(CASE WHEN b = 0 THEN 99.0::DOUBLE ELSE 10.0::DOUBLE * log10(65025.0::DOUBLE / (b / 64.0::DOUBLE)) END) FILTER (page % 5 > 0), 6) AS our_psnr
+FROM e GROUP BY deck
+"""
+
 REACH = 1
 
 
@@ -308,7 +335,8 @@ FROM f
 def streams_encoded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as a stream with a dictionary of two entries; equal ones are measured once, and all get the result."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    docs = docs.withColumn("key", F.sha2(F.concat_ws("\x1f", F.sha2("text", 256), "lang", "source"), 256))
+    entries = F.create_map(F.lit("/Filter"), F.col("lang"), F.lit("/ColorSpace"), F.col("source"), F.lit("/Name"), F.col("doc_id").cast("string"))
+    docs = docs.withColumn("key", encode_once.content_key(F.encode("text", "UTF-8"), entries))
 
     def measure(distinct: DataFrame) -> DataFrame:
         return distinct.select("key", F.octet_length("text").alias("bytes"), F.size(F.split("text", " ")).alias("pieces"))
@@ -317,7 +345,8 @@ def streams_encoded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENCODED_SQL = """
-SELECT doc_id, sha256(sha256(text) || chr(31) || lang || chr(31) || source) AS key,
+SELECT doc_id, sha256(unhex(sha256(text)) || encode(
+    chr(0) || chr(31) || chr(0) || chr(31) || lang || chr(31) || chr(0) || chr(31) || source || chr(31) || chr(0) || chr(31) || chr(0) || chr(31) || chr(0) || chr(31) || chr(0))) AS key,
   octet_length(encode(text))::INTEGER AS bytes, len(string_split(text, ' '))::INTEGER AS pieces
 FROM documents
 """
@@ -546,6 +575,7 @@ QUERIES = {
     "geometry_boxes": geometry_boxes,
     "restoring_matrices": restoring_matrices,
     "picture_psnr": picture_psnr,
+    "page_fidelity": page_fidelity,
     "picture_coverage": picture_coverage,
     "picture_classes": picture_classes,
     "streams_encoded_once": streams_encoded_once,
@@ -569,6 +599,7 @@ SQL = {
     "geometry_boxes": GEOMETRY_SQL,
     "restoring_matrices": RESTORING_SQL,
     "picture_psnr": PSNR_SQL,
+    "page_fidelity": FIDELITY_SQL,
     "picture_coverage": COVERAGE_SQL,
     "picture_classes": CLASSES_SQL,
     "streams_encoded_once": ENCODED_SQL,

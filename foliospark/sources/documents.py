@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.pdf import content, model
@@ -110,6 +111,12 @@ def pages(documents: DataFrame) -> DataFrame:
     return table_of(documents, PAGES, rows)
 
 
+def page_counts(documents: DataFrame) -> DataFrame:
+    """(path, pages): how many pages each file has; 0 if it can't be read."""
+    counts = pages(documents).groupBy("path").agg(F.count("*").alias("pages"))
+    return documents.select("path").join(counts, "path", "left").select("path", F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
 def operators(documents: DataFrame) -> DataFrame:
     """OPERATORS: each page's content by place; a page that can't be read has none."""
 

@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in plain tests, a temporary one."""
+    """The folder of spark.checkpoint.dir; only in a local session that doesn't set it a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="foliospark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
