@@ -15,7 +15,7 @@ itself; and its pieces are drawn for all nodes at once, for the draw at a node d
 
 Edge cases: an empty table gives no rows; a column of the output's name is kept, and the output gets underscores in front; a null or empty text has no pieces and decodes to the empty text; a null key is a key like any other; repeated
 rows get equal pieces; a literal U+2581 is written in byte pieces and so survives; bytes that are no UTF-8 do too. A text
-is handled whole; memory is bound by the slice (2 MB) or by one longer text.
+is handled whole; memory is bound by the slice (1 MB) or by one longer text.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ DEFAULT_MODEL = os.environ.get("FOLIOSPARK_PIECE_MODEL", "/opt/tokenizers/piece_
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: A factor for each byte of a piece; it keeps sums near 1 and cancels out, for all paths of a word have the same bytes.
 PER_BYTE = float(np.exp(0.45))
-LATTICE_BYTES = 2 << 20  # text whose lattices are held at once
+LATTICE_BYTES = 1 << 20  # text whose lattices are held at once
 LONG_WORD = 1024  # bytes from which a word is filtered in blocks
 RUN = 1 << 20  # bytes of a word whose blocks are filtered at once
 
