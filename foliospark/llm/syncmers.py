@@ -98,19 +98,13 @@ def likeness(a: Column, b: Column) -> Column:
 
     def pairs(ordered: Column) -> Column:
         """The first places of each shared hash, of `a` in the high half; in `ordered` they are neighbours."""
-        last = F.size(ordered) - 1
 
-        def at(i: Column) -> Column:
-            return F.get(ordered, i)
+        def meet(x: Column, y: Column) -> Column:
+            shared = F.shiftrightunsigned(x.bitwiseXOR(y), 31) == 1  # the same hash, on either side
+            return F.when(shared, F.shiftleft(F.lit(PLACE) - x.bitwiseAND(F.lit(PLACE)), 32).bitwiseOR(y.bitwiseAND(F.lit(PLACE))))
 
-        def meet(i: Column) -> Column:
-            same = F.shiftright(at(i), 32) == F.shiftright(at(i + 1), 32)
-            return same & (at(i).bitwiseAND(F.lit(SIDE)) == 0) & (at(i + 1).bitwiseAND(F.lit(SIDE)) != 0)
-
-        found = F.filter(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), meet)
-        return F.sort_array(
-            F.transform(found, lambda i: F.shiftleft(F.lit(PLACE) - at(i).bitwiseAND(F.lit(PLACE)), 32).bitwiseOR(at(i + 1).bitwiseAND(F.lit(PLACE))))
-        )
+        following = F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0)))
+        return F.sort_array(F.filter(F.zip_with(ordered, following, meet), lambda x: x.isNotNull()))
 
     def counted(paired: Column) -> Column:
         """How many pairs are in the order of a neighbour."""
@@ -161,12 +155,20 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", common.text_of(F.col("text")).alias("text"))
     docs = docs.withColumn("tag", F.xxhash64("text"))
     pairs = common.materialise(next_documents(docs.select("doc_id", "tag", F.floor(F.char_length("text") / 3).cast("int").alias("cut"))), "next")
-    # Both joins read the same exchange of (doc_id, tag, text); a donor's anchors are made once for its receiver.
-    donors = docs.alias("d").join(pairs.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.next_id")) & (F.col("d.tag") == F.col("p.next_tag")))
-    donors = donors.select(F.col("p.doc_id").alias("to_id"), F.col("p.tag").alias("to_tag"), F.expr("cut"), "text")
-    donors = with_anchors(donors, "text", "next_found")
-    donors = donors.select("to_id", "to_tag", "cut", F.expr("substring(text, 1, cut)").alias("prefix"), "next_found").dropDuplicates(["to_id", "to_tag"])
-    both = docs.join(donors, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("tag") == F.col("to_tag")))
+    # Null ids get a value and a mark, so that both joins and the step between them are dealt by the same plain columns.
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("none"), "tag"]
+    told = [F.coalesce("next_id", F.lit(0)).alias("id"), F.isnull("next_id").alias("none"), F.col("next_tag").alias("tag")]
+    to = [F.coalesce("doc_id", F.lit(0)).alias("to_id"), F.isnull("doc_id").alias("to_none"), F.col("tag").alias("to_tag")]
+    docs = docs.select(*key, "text")
+    # Both joins read the same exchange of documents. A donor's anchors are made once for its receiver, which needs only
+    # their hashes in order, 4 bytes each.
+    donors = with_anchors(docs.join(pairs.select(*told, *to, "cut"), ["id", "none", "tag"]), "text", "next_found")
+    hashes = F.transform("next_found", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    donors = donors.select("to_id", "to_none", "to_tag", "cut", F.expr("substring(text, 1, cut)").alias("prefix"), hashes.alias("next_hashes"))
+    donors = donors.dropDuplicates(["to_id", "to_none", "to_tag"])
+    both = docs.join(donors, [F.col("id") == F.col("to_id"), F.col("none") == F.col("to_none"), F.col("tag") == F.col("to_tag")])
+    ordered = F.transform("next_hashes", lambda h, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(LOW))))
+    both = both.withColumn("next_found", ordered).withColumn("doc_id", F.when(~F.col("none"), F.col("id")))
     both = both.withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - cut), prefix)"))
     both = both.select("doc_id", "n_chars", "text", "next_found", F.sha2("edited", 256).alias("edited_sha256"), "edited")
