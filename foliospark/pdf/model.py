@@ -432,33 +432,30 @@ class Document:
 
     def pages(self) -> list[Ref]:
         """The pages in order."""
-        out, seen = [], set()
-
-        def walk(ref, depth):
+        root = self.get(self.trailer.get("/Root"))
+        if not isinstance(root, dict):
+            raise Damaged("no catalog")
+        out, seen, ahead = [], set(), [root.get("/Pages")]
+        while ahead:
+            ref = ahead.pop()
             node = self.get(ref)
-            if not isinstance(node, dict) or depth > 64 or ref in seen:
-                return
-            seen.add(ref)
+            if not isinstance(ref, Ref | dict) or not isinstance(node, dict) or (isinstance(ref, Ref) and ref in seen):
+                continue
+            if isinstance(ref, Ref):
+                seen.add(ref)
             if "/Kids" in node:
-                for kid in self.get(node["/Kids"]) or []:
-                    if isinstance(kid, Ref):
-                        walk(kid, depth + 1)
+                ahead += [kid for kid in reversed(self.get(node["/Kids"]) or []) if isinstance(kid, Ref)]
             elif isinstance(ref, Ref):
                 out.append(ref)
-
-        root = self.get(self.trailer.get("/Root"))
-        if not isinstance(root, dict):
-            raise Damaged("no catalog")
-        walk(root.get("/Pages"), 0)
         return out
 
     def inherited(self, page: dict, key: str):
         """A page's entry, or that of the nearest node above it."""
-        for _ in range(64):
-            if not isinstance(page, dict):
-                return None
+        above = set()
+        while isinstance(page, dict) and id(page) not in above:
             if key in page:
                 return self.get(page[key])
+            above.add(id(page))
             page = self.get(page.get("/Parent"))
         return None
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.pdf import content, model
+from foliospark.pdf.contexts import contexts as contexts_of
 from foliospark.pdf.model import Document, Name, Ref, Stream, serialise
 
 OBJECTS = "path string, num int, gen int, kind string, entries map<string,string>, raw binary, error string"
 REFS = "path string, num int, gen int, key string, dst_num int, dst_gen int"
+CONTEXTS = "path string, num int, gen int, kind string, own boolean, spaces array<string>"
 PAGES = "path string, page int, x0 double, y0 double, x1 double, y1 double"
 OPERATORS = "path string, page int, seq int, operator string, operands array<string>"
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -111,6 +113,22 @@ def pages(documents: DataFrame) -> DataFrame:
     return table_of(documents, PAGES, rows)
 
 
+def contexts(documents: DataFrame) -> DataFrame:
+    """CONTEXTS: all that paints (page, form or tiling), whether its resources are its own, and the names of its colour spaces."""
+
+    def rows(path, body):
+        try:
+            document = Document.load(body)
+            found = contexts_of(document)
+        except Exception:
+            return
+        for c in found:
+            own = isinstance(document.get(c.holder.get("/Resources")), dict)
+            yield {"path": path, "num": c.owner.num, "gen": c.owner.gen, "kind": c.kind, "own": own, "spaces": sorted(c.spaces(document))}
+
+    return table_of(documents, CONTEXTS, rows)
+
+
 def page_counts(documents: DataFrame) -> DataFrame:
     """(path, pages): how many pages each file has; 0 if it can't be read."""
     counts = pages(documents).groupBy("path").agg(F.count("*").alias("pages"))

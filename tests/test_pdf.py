@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark import api, pipeline
 from foliospark.operators import graph
-from foliospark.pdf import build, content, edit, jpeg, pixels
+from foliospark.pdf import build, content, contexts, edit, jpeg, pixels
 from foliospark.pdf.model import Damaged, Document, Name, Parser, Ref, Stream, serialise
 from foliospark.profiles import MinimalFileSize, Profile, RemovalOptions, Web
 from foliospark.sources import documents as source
@@ -293,6 +293,25 @@ def test_srgb(spark):
     assert out.decoded(out.get(content.drawings(out)[0].ref)) == build.gradient(20, 20).tobytes()
 
 
+def test_contexts_and_deep_page_trees(spark):
+    d = build.empty()
+    tile = d.add(Stream({"/PatternType": 1, "/Resources": {}}, b""))
+    inner = d.add(Stream({"/Subtype": Name("/Form")}, b""))  # without resources of its own
+    outer = d.add(Stream({"/Subtype": Name("/Form"), "/Resources": {"/XObject": {"/A": inner}, "/Pattern": {"/P": tile}}}, b""))
+    d.get(outer).entries["/Resources"]["/XObject"]["/Self"] = outer
+    for _ in range(2):
+        build.add_page(d, [(outer, (1, 0, 0, 1, 0, 0), None)])
+    top = d.get(d.get(d.trailer["/Root"])["/Pages"])
+    for _ in range(300):  # as many levels between the root and its pages
+        top["/Kids"] = [d.add({"/Type": Name("/Pages"), "/Parent": d.get(d.trailer["/Root"])["/Pages"], "/Kids": top["/Kids"], "/Count": 2})]
+    assert len(d.pages()) == 2 and [c.kind for c in contexts.contexts(d)] == ["page", "page", "form", "form", "tiling"]
+    rows = spark.createDataFrame([("a", bytearray(d.save(False))), ("bad", bytearray(b"x"))], "path string, content binary")
+    assert {(r.kind, r.own, len(r.spaces)): r["count"] for r in source.contexts(rows).groupBy("kind", "own", "spaces").count().collect()} == {
+        ("page", True, 0): 2, ("form", True, 0): 1, ("form", False, 0): 1, ("tiling", True, 0): 1,
+    }
+    assert edit.tag_srgb(d) == 4 and edit.tag_srgb(d) == 0
+
+
 def test_tables(spark):
     d = one_page(build.gradient(20, 20))
     rows = spark.createDataFrame([("a", bytearray(d.save(False))), ("bad", bytearray(b"x"))], "path string, content binary")
