@@ -207,6 +207,7 @@ def test_round_trip_shrinks_and_stays_alike(spark):
     d = one_page(build.noisy(400, 300), (180, 0, 0, 135, 10, 10))
     r, out = run(spark, d)
     assert r.after_bytes < r.before_bytes / 1.9 and len(r.images) == 1
+    assert set(r.image_timings) == {"prepare", "encode"} and r.images[0].seconds == pytest.approx(sum(r.image_timings.values()))
     i = r.images[0]
     assert (i.source_w, i.source_h) == (400, 300) and i.result_w == 400 and i["filter"] == "/DCTDecode"
     small, out = run(spark, one_page(build.gradient(), (180, 0, 0, 101.25, 0, 0)))
@@ -343,6 +344,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert "saved" in capsys.readouterr().out
 
 
+def test_result_of_one_file(spark, tmp_path):
+    path = tmp_path / "a.pdf"
+    path.write_bytes(one_page(build.noisy(120, 90), mask=np.tile(np.arange(120, dtype=np.uint8), (90, 1))).save(False))
+    r = api.optimize_document(path, tmp_path / "b.pdf")
+    assert r.ratio == r.before_bytes / r.after_bytes and r.saved_fraction == 1 - r.after_bytes / r.before_bytes
+    lines = r.timing_report().split("\n")
+    assert {x.split(":")[0] for x in lines[:6]} == {"open", "rewrite", "prune", "dedupe", "save", "images"}
+    assert {x.split(":")[0] for x in lines[6:]} == {"  prepare", "  mask", "  encode"}
+    assert set(r.image_timings) == {"prepare", "mask", "encode"}
+
+
 def test_stream_of_files(spark, tmp_path):
     from foliospark.streaming.ingest import watch
 
