@@ -14,7 +14,12 @@ SHINGLE, SIMILARITY, WORDS, BLOCK = 5, 0.8, 64, 1024
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; without usable labels there is no classifier, and all stay."""
+    """Documents that the quality classifier accepts; without usable labels there is no classifier, and all stay.
+
+    Each row is judged by its whole text alone: null text is empty and gets a score like any other, a null id may be
+    accepted, rows equal in text stay or go together. An empty table gives an empty one; further columns are kept as they are,
+    whatever their names.
+    """
     model = quality.train(docs, common.table(spark, sf_dir, "labels"))
     if not model.fitted:
         return docs
@@ -42,7 +47,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret found replaced by a mark and the number of characters brought up to date."""
+    """All documents, with every secret found replaced by a mark and the number of characters brought up to date.
+
+    Null text stays null and has no secrets; where none is found n_chars stays as it is, null too. Spans that overlap become
+    one mark; rows equal in text are redacted alike, whatever their ids. An empty table gives an empty one; further
+    columns are kept as they are, whatever their names.
+    """
     found = secret_scan.scan(docs)
     spans = found.columns[-1]
     text = F.when(F.col("text").isNotNull(), secret_scan.redact(F.col("text"), F.col(spans)))
@@ -52,13 +62,22 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled with probabilities raked to the target weights of sources, languages and topics."""
+    """Documents sampled with probabilities raked to the target weights of sources, languages and topics.
+
+    Null text is empty and weighs nothing; null and unnamed sources and languages are "other". A draw goes by doc_id: rows
+    of one id (null is one) share the draw, and stay or go together within a cell. An empty table gives an empty one; further
+    columns are kept as they are, whatever their names.
+    """
     mixed = mixing.mix(docs)
     return mixed.filter(F.col(mixed.columns[-1])["sampled"]).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, token_ids, n_tokens, decoded_sha256, lossless): a sampled segmentation of each text."""
+    """(doc_id, lang, source, token_ids, n_tokens, decoded_sha256, lossless): a sampled segmentation of each text.
+
+    A row for each row: null and empty texts have no pieces; equal rows get equal pieces; a null id is a key like any other.
+    An empty table gives an empty one; further columns are not read.
+    """
     return pieces.sample_encode(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "pieces.*")
 
 

@@ -8,7 +8,8 @@ where the template put it, and any text comes back as it was. A turn's edges are
 reaches: the mask is exact.
 
 Edge cases: null texts and roles are empty; rows of a conversation go by (turn, role, text), null turns first, so repeated
-rows are turns of their own; a null conv_id is one more conversation; an assistant's empty text has no masked token.
+rows are turns of their own; a null conv_id is one more conversation; an assistant's empty text has no masked token; an empty table gives no rows; further
+columns are not read, whatever their names.
 A conversation is one output row by definition, so it is what one task must hold; nothing else is gathered.
 """
 
@@ -115,8 +116,7 @@ def format_chats(
 ) -> DataFrame:
     """One row per conversation: its id, formatted text, token ids, their spans in code points, and the loss mask."""
     common.bound_batches(df.sparkSession)
-    with open(vocabulary, "rb") as f:
-        tokens = f.read()
+    tokens = common.read_file(df.sparkSession, vocabulary)
 
     @F.arrow_udf(_TYPE)
     def encode(chats: pa.Array) -> pa.Array:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -54,6 +55,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """A vocabulary's bytes, from the driver's disk or from any store that Spark reads."""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

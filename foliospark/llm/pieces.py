@@ -40,14 +40,6 @@ LONG_WORD = 1024  # bytes from which a word is filtered in blocks
 RUN = 1 << 20  # bytes of a word whose blocks are filtered at once
 
 
-def read_model(spark: SparkSession, path: str) -> bytes:
-    """The model file's bytes, from the driver's disk or from any store that Spark reads."""
-    if os.path.exists(path):
-        with open(path, "rb") as f:
-            return f.read()
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-
-
 class Lattices:
     """A model's pieces as a byte trie, with sampling and decoding over slices of texts."""
 
@@ -378,7 +370,7 @@ def sample_encode(
     The last two come from decoding the drawn ids again: lossless says that the bytes are the text's.
     """
     common.bound_batches(df.sparkSession)
-    proto = read_model(df.sparkSession, model)
+    proto = common.read_file(df.sparkSession, model)
 
     @F.arrow_udf("struct<token_ids:array<int>,n_tokens:bigint,decoded_sha256:string,lossless:boolean>")
     def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
@@ -411,7 +403,7 @@ def sample_encode(
 
 def decode(df: DataFrame, ids: str = "token_ids", model: str = DEFAULT_MODEL) -> DataFrame:
     """All columns of `df`, and `decoded` (or with underscores in front): the text of an array of piece ids (null ids: null)."""
-    proto = read_model(df.sparkSession, model)
+    proto = common.read_file(df.sparkSession, model)
 
     @F.arrow_udf("string")
     def back(arr: pa.Array) -> pa.Array:

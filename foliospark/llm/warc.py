@@ -15,7 +15,9 @@ Payloads of at least LEAST_SHARED bytes are stored once: the record with the lar
 payload are revisits that refer to it and hold the HTTP header only.
 
 Edge cases: null html is empty, null url is the empty URI; a null page_id has no id field and is a response always; rows that
-repeat a page_id with one payload are responses together if it is the largest, else revisits together.
+repeat a page_id with one payload are responses together if it is the largest, else revisits together; an empty table gives
+no rows; further columns are not read, whatever their names; files that are no archives give no rows. A task holds one
+record whole, and one stretch between two magics.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import hashlib
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm import common
@@ -181,14 +183,35 @@ def write_warc(pages: DataFrame, path: str, level: int = 6) -> None:
 _PIECES = "kind string, path string, at long, part long, piece binary"
 
 
-def _unpack(pieces: list[bytes]) -> tuple[bytes | None, bool]:
-    """(content of the member that starts with the first piece, whether it ends there); None if it is no gzip member."""
-    packer = zlib.decompressobj(31)
-    try:
-        content = b"".join(packer.decompress(MAGIC + p) for p in pieces)
-    except zlib.error:
-        return None, False
-    return content, packer.eof
+class Member:
+    """A gzip member that is unpacked piece by piece; `pieces` are those that it has got, without the magic before each."""
+
+    def __init__(self, piece: bytes):
+        self.pieces: list[bytes] = []
+        self._packer, self._parts, self.bad = zlib.decompressobj(31), [], False
+        self.feed(piece)
+
+    def feed(self, piece: bytes) -> None:
+        self.pieces.append(piece)
+        if not self.bad and not self.ended:
+            try:
+                self._parts.append(self._packer.decompress(MAGIC + piece))
+            except zlib.error:
+                self.bad = True
+
+    @property
+    def ended(self) -> bool:
+        return self._packer.eof
+
+    @property
+    def content(self) -> bytes:
+        if len(self._parts) > 1:
+            self._parts = [b"".join(self._parts)]
+        return self._parts[0] if self._parts else b""
+
+    def is_record(self) -> bool:
+        """Whether it unpacks, so far, to the start of a WARC header."""
+        return not self.bad and (self.ended or bool(self.content)) and self.content[:7] == b"WARC/1."[: len(self.content)]
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False, files: int | None = None) -> DataFrame:
@@ -206,11 +229,11 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False, files:
 
     def scan(batches):
         place = None  # (file, start of the range, end of the range)
-        open_pieces: list[bytes] = []  # a member that goes on
+        current: Member | None = None  # one that goes on
         part = 0
 
-        def cut_member(pieces, place):
-            return [("tail", place[0], place[2], k, p) for k, p in enumerate(pieces)]
+        def cut_member(place):
+            return [("tail", place[0], place[2], k, p) for k, p in enumerate(current.pieces)] if current else []
 
         for batch in batches:
             rows, extra, size = [], [], 0
@@ -218,52 +241,51 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False, files:
             for i in range(batch.num_rows):
                 here = (paths[i].as_py(), starts[i].as_py(), starts[i].as_py() + lengths[i].as_py())
                 if here != place:
-                    extra += cut_member(open_pieces, place)
-                    place, open_pieces, part, whole = here, [], 0, False
+                    extra += cut_member(place)
+                    place, current, part, whole = here, None, 0, False
                 piece = pieces[i].as_py()
                 if not piece:
                     continue
-                content, ended = _unpack([piece])
-                if content is not None and content[:7] == b"WARC/1."[: len(content)] and (ended or content):
-                    open_pieces, whole = [piece], True  # a member starts here
-                elif open_pieces:
-                    open_pieces.append(piece)
-                    content, ended = _unpack(open_pieces)
+                started = Member(piece)
+                if started.is_record():
+                    current = started
+                    if not whole:
+                        extra.append(("start", place[0], place[1], 0, None))
+                    whole = True
+                elif current:
+                    current.feed(piece)
                 elif not whole:  # nothing has started in this range yet: it may belong to the one before
                     extra.append(("head", place[0], place[1], part, piece))
                     part += 1
                     continue
                 else:
                     continue
-                if ended:
-                    open_pieces = []
-                    row = row_of(content, with_payload)
+                if current.ended and not current.bad:
+                    row = row_of(current.content, with_payload)
                     if row:
                         rows.append(row)
-                        size += len(content) if with_payload else 200
+                        size += len(current.content) if with_payload else 200
+                    current = None
                 if size >= OUT_BYTES:
                     yield frame(rows, extra)
                     rows, extra, size = [], [], 0
             yield frame(rows, extra)
-        if open_pieces:
-            yield frame([], cut_member(open_pieces, place))
+        if current:
+            yield frame([], cut_member(place))
 
     def rejoin(batches):
         for batch in batches:
             rows = []
             for chain in batch.column(0).to_pylist():
                 # By place: the pieces of a cut member, then those that ranges after it found before any member of theirs.
-                pieces: list[bytes] = []
+                current = None
                 for p in sorted(chain, key=lambda x: (x["at"], x["kind"] == "head", x["part"])):
-                    if p["kind"] == "tail" and not p["part"]:
-                        pieces = []
-                    pieces.append(p["piece"])
-                    content, ended = _unpack(pieces)
-                    if ended and content is not None:
-                        row = row_of(content, with_payload)
-                        if row:
-                            rows.append(row)
-                        pieces = []
+                    if current is None:
+                        current = Member(p["piece"])
+                    elif not current.ended:
+                        current.feed(p["piece"])
+                row = row_of(current.content, with_payload) if current.ended and not current.bad else None
+                rows += [row] if row else []
             yield frame(rows, []).select(names)
 
     reader = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1")
@@ -276,9 +298,16 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False, files:
         found = common.materialise(pieces.mapInArrow(scan, f"{schema}, {_PIECES}"), "records")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    # A cut member is a rare thing (chance magic near the end of a range), so the pieces of a file are few.
-    chains = found.filter("kind IS NOT NULL").groupBy("path").agg(F.collect_list(F.struct("kind", "at", "part", "piece")).alias("chain"))
-    cut = chains.filter(F.exists("chain", lambda p: p["kind"] == "tail")).select("chain").mapInArrow(rejoin, schema)
+    # Which cut member goes on in a range is settled by narrow rows, three a range at most: the last event before a range's
+    # head is either a cut member or a member's start, after which a head is no member's. So a file that is no archive has no
+    # chain, and a chain has one member and what follows it up to the next range in which a member starts.
+    events = found.filter("kind IS NOT NULL").select("path", "at", "kind").distinct()
+    order = Window.partitionBy("path").orderBy("at", F.expr("CASE kind WHEN 'tail' THEN 0 WHEN 'head' THEN 1 ELSE 2 END"))
+    last = F.last(F.when(F.col("kind") != "head", F.struct("kind", "at")), ignorenulls=True).over(order)
+    chained = events.withColumn("last", last).filter("last.kind = 'tail'").select("path", "at", "kind", F.col("last.at").alias("tail_at"))
+    pieces = found.filter("kind IN ('tail', 'head')").select("path", "at", "kind", "part", "piece").join(chained, ["path", "at", "kind"])
+    chains = pieces.groupBy("path", "tail_at").agg(F.collect_list(F.struct("kind", "at", "part", "piece")).alias("chain"))
+    cut = chains.select("chain").mapInArrow(rejoin, schema)
     return found.filter("kind IS NULL").select(*names).unionByName(cut)
 
 

@@ -71,6 +71,19 @@ def test_chance_magic_in_foreign_archives(spark, tmp_path, size):
     assert sorted((r.page_id, r.payload_digest) for r in got) == rows
 
 
+def test_long_members_and_files_that_are_no_archives(spark, tmp_path):
+    rng = random.Random(5)
+    body = b"".join(rng.randbytes(700) + warc.MAGIC for _ in range(60))  # a member over many ranges
+    raw = b"".join(chance_member(warc.record(i, "u", b, hashlib.sha1(b).hexdigest(), None)) for i, b in enumerate((b"a", body, b"c")))
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.warc").write_bytes(raw)
+    (tmp_path / "f" / "b.warc").write_bytes(raw + rng.randbytes(3000) + warc.MAGIC + rng.randbytes(9000))  # and no member at its end
+    (tmp_path / "f" / "c.warc").write_bytes(b"".join(rng.randbytes(400) + warc.MAGIC for _ in range(50)))
+    for size in (1000, 9000):
+        got = warc.read_warc(spark, str(tmp_path / "f"), with_payload=True, files=size).collect()
+        assert sorted((r.page_id, r.payload) for r in got) == [(i, b) for i, b in enumerate((b"a", body, b"c")) for _ in range(2)]
+
+
 def test_members_spare_the_magic():
     for n in range(50):
         content = random.Random(n).randbytes(2000) + warc.MAGIC
